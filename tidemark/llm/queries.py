@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, piece_codec, quality_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def piece_model() -> str:
+    """The public tokenizer's model file; TIDEMARK_PIECE_MODEL names another."""
+    import os
+
+    if at := os.environ.get("TIDEMARK_PIECE_MODEL"):
+        return at
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_duplicates(_docs(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -20,8 +31,52 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_docs(spark, sf_dir))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(_docs(spark, sf_dir), piece_model())
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op7_source_mix)}
+    return {f.__name__: f for f in (op3_exact_dedup, op6_quality_rules, op7_source_mix, op8_sentencepiece)}
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS body,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d WHERE len(words) >= 5)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM g) WHERE n > 1
+), c AS (
+  SELECT doc_id, CAST(count(DISTINCT i + k) AS BIGINT) AS n FROM r, range(5) AS t(k) GROUP BY doc_id
+), l AS (
+  SELECT DISTINCT doc_id, source, line FROM (
+    SELECT doc_id, source, trim(regexp_replace(lower(unnest(lines)), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM d)
+), f AS (
+  SELECT source, line FROM l GROUP BY source, line HAVING count(*) > 100
+), e AS (
+  SELECT doc_id, CAST(sum(len(string_split(x.line, ' '))) AS BIGINT) AS removed_words
+  FROM (SELECT doc_id, source, trim(regexp_replace(lower(unnest(lines)), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM d) x
+  JOIN f ON x.line = f.line AND x.source IS NOT DISTINCT FROM f.source GROUP BY doc_id
+), o AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(body, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, coalesce(e.removed_words, 0) AS removed_words
+  FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN e ON d.doc_id = e.doc_id
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 0.3 * n_words AS kept
+FROM o
+"""
 
 
 OP3_SQL = r"""
@@ -64,4 +119,4 @@ FROM p
 
 
 def oracle_sql() -> dict:
-    return {"op3_exact_dedup": OP3_SQL, "op7_source_mix": OP7_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_source_mix": OP7_SQL}
