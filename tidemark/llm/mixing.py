@@ -54,7 +54,7 @@ def mix(
     max_epochs: float = 2.0,
     seed: int = 42,
     boundary: str = "split",
-    rows_per_range: int = 20_000,
+    rows_per_range: int = 2_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
