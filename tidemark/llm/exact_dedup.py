@@ -17,11 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import SEP, shared_dir, staged, table_path, text_or_empty, unstage
+from .components import join_hot
 
 #: Above this many digests with copies they are joined by shuffle instead of broadcast (40 bytes each).
 BROADCAST_HITS = 100_000
-#: A digest is hot with over 1/HOT_SHARE of all rows, so at most HOT_SHARE digests are, and may be broadcast.
-HOT_SHARE = 1000
 SALTS = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -95,10 +94,7 @@ def exact_duplicates(
     broken = kept.where("odd").select("digest").union(heads.where(F.col("previous") != F.col("body")).select("digest")).distinct()
     broken = staged(broken, "dedup-broken")
 
-    hot = F.broadcast(keys.where(F.col("copies") > n_rows / HOT_SHARE))
-    cold = keys.where(F.col("copies") <= n_rows / HOT_SHARE)
-    both = rows.select("digest", "id")
-    found = both.join(hot, "digest").unionByName(both.join(hot.select("digest"), "digest", "left_anti").join(cold, "digest"))
+    found = join_hot(rows.select("digest", "id"), keys, "digest", "copies", n_rows)
     out = found.select(F.col("id").alias("doc_id"), F.col("first.id").alias("keep_id"), F.col("copies").alias("group_size"), "digest", F.col("first.locator").alias("locator"))
     if broken.isEmpty():
         unstage(spark, kept, broken)

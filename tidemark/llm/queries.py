@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, piece_codec, quality_rules
+from . import exact_dedup, mixing, piece_codec, quality_rules, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_docs(spark, sf_dir))
+    return out.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id", "component_size")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_docs(spark, sf_dir))
 
@@ -40,7 +45,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op6_quality_rules, op7_source_mix, op8_sentencepiece)}
+    return {f.__name__: f for f in (op3_exact_dedup, op5_simhash, op6_quality_rules, op7_source_mix, op8_sentencepiece)}
 
 
 OP6_SQL = r"""
