@@ -134,35 +134,31 @@ class Codec:
 
     def _encode_stretch(self, text: str) -> bytes:
         ids, pairs = self.ids, self.pairs
-        ends: list[list[str]] = [[] for _ in text]
-        for end, piece in self.automaton.iter(text):
-            ends[end].append(piece)
-        last: list[str | None] = [None]
-        for at, found in enumerate(ends, 1):
-            right = None
-            for piece in sorted(found, key=len, reverse=True):
-                before = last[at - len(piece)]
-                if at == len(piece) or before is None or before not in ids:
-                    ok = at == len(piece) or before is not None
-                else:
-                    ok = pairs.get((before, piece))
-                    if ok is None:
-                        if len(pairs) >= PAIRS:
-                            pairs.clear()
-                        ok = pairs[before, piece] = self._compatible(before, piece)
-                if ok:
-                    right = piece
-                    break
-            last.append(right if right is not None else text[at - 1])
+        last: list[str | None] = [None] * (len(text) + 1)
+        for end, piece in self.automaton.iter(text):  # by end, the longest first
+            at = end + 1
+            if last[at] is not None:
+                continue
+            before = last[at - len(piece)]
+            if before is not None:  # else the start, or a character outside the vocabulary
+                ok = pairs.get((before, piece))
+                if ok is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    ok = pairs[before, piece] = self._compatible(before, piece)
+                if not ok:
+                    continue
+            last[at] = piece
         out: list[int] = []
         at = len(text)
         while at:
             token = last[at]
-            if token in ids:
+            if token is not None:
                 out.append(ids[token])
+                at -= len(token)
             else:
-                out.extend(self.byte_ids[x] for x in reversed(token.encode()))
-            at -= len(token)
+                out.extend(self.byte_ids[x] for x in reversed(text[at - 1].encode()))
+                at -= 1
         return np.array(out[::-1], "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:

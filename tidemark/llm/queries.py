@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, piece_codec, quality_rules, simhash
+from . import chat_format, exact_dedup, mixing, piece_codec, quality_rules, simhash, substring_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(_docs(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_duplicates(_docs(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -44,8 +48,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(_docs(spark, sf_dir), piece_model())
 
 
+def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.paired_by_id(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_simhash, op6_quality_rules, op7_source_mix, op8_sentencepiece)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op5_simhash, op6_quality_rules, op7_source_mix, op8_sentencepiece, op10_preference_format)}
 
 
 OP6_SQL = r"""
@@ -84,6 +92,53 @@ FROM o
 """
 
 
+OP1_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, line, i = n AS last,
+         CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), u AS (
+  SELECT *, start + length(line) + CASE WHEN last THEN 0 ELSE 1 END AS stop,
+         trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM l
+), r AS (
+  SELECT *, len(string_split(unit, ' ')) >= 20 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1 AS gone FROM u
+)
+SELECT doc_id,
+       coalesce(string_agg(CASE WHEN NOT gone THEN line || CASE WHEN last THEN '' ELSE chr(10) END END, '' ORDER BY i), '') AS text,
+       CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+       CAST(coalesce(sum(stop - start) FILTER (gone), 0) AS BIGINT) AS removed_chars,
+       coalesce(string_agg(start || '-' || stop, ',' ORDER BY i) FILTER (gone), '') AS spans
+FROM r GROUP BY doc_id
+"""
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+         coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|im_', '<| im_') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), m AS (
+  SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i,
+         a.i IS NOT NULL AND b.i IS NOT NULL AND a.role = b.role AND a.text = b.text AS same
+  FROM (SELECT * FROM t WHERE side = 0) a FULL JOIN (SELECT * FROM t WHERE side = 1) b ON a.pair_id = b.pair_id AND a.i = b.i
+), n AS (
+  SELECT pair_id, CAST(coalesce(min(i) FILTER (NOT same) - 1, max(i)) AS BIGINT) AS n FROM m GROUP BY pair_id
+), r AS (
+  SELECT t.*, n.n, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM t JOIN n USING (pair_id)
+), p AS (
+  SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY pair_id, side, i > n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r
+)
+SELECT pair_id, any_value(n) AS n_prompt_turns,
+       coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 0 AND i <= n), '') AS prompt,
+       CASE WHEN count(*) FILTER (side = 0) > 0 THEN coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 0 AND i > n), '') END AS chosen,
+       CASE WHEN count(*) FILTER (side = 0) > 0 THEN coalesce(string_agg((CAST(pos AS BIGINT) + 13 + length(role)) || '-' || (CAST(pos AS BIGINT) + 23 + length(role) + length(text)), ',' ORDER BY i)
+         FILTER (side = 0 AND i > n AND role = 'assistant'), '') END AS chosen_mask,
+       CASE WHEN count(*) FILTER (side = 1) > 0 THEN coalesce(string_agg(shown, '' ORDER BY i) FILTER (side = 1 AND i > n), '') END AS rejected,
+       CASE WHEN count(*) FILTER (side = 1) > 0 THEN coalesce(string_agg((CAST(pos AS BIGINT) + 13 + length(role)) || '-' || (CAST(pos AS BIGINT) + 23 + length(role) + length(text)), ',' ORDER BY i)
+         FILTER (side = 1 AND i > n AND role = 'assistant'), '') END AS rejected_mask
+FROM p GROUP BY pair_id
+"""
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -124,4 +179,4 @@ FROM p
 
 
 def oracle_sql() -> dict:
-    return {"op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_source_mix": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op10_preference_format": OP10_SQL, "op3_exact_dedup": OP3_SQL, "op6_quality_rules": OP6_SQL, "op7_source_mix": OP7_SQL}
