@@ -30,10 +30,17 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 
     Windows are compared by 64-bit hash within one text. Only texts with a repeated window are sorted.
     """
-    last = F.size("words") - WINDOW
-    window = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(WINDOW)]))
-    none = F.array().cast("array<bigint>")
-    d = docs.withColumn("windows", F.when(last >= 0, window).otherwise(none))
+    n = F.col("n_words").cast("int")
+
+    def beside(d: DataFrame, name: str, left: str, right: str, width: int) -> DataFrame:
+        """Hashes of ``width`` words from hashes (or words) of its two ends."""
+        count, from_ = n - width + 1, {2: 2, 4: 3, 5: 5}[width]
+        pairs = F.zip_with(F.slice(left, F.lit(1), count), F.slice(right, F.lit(from_), count), lambda x, y: F.xxhash64(x, y))
+        return d.withColumn(name, F.when(count > 0, pairs).otherwise(F.array().cast("array<bigint>")))
+
+    d = beside(docs, "two", "words", "words", 2)
+    d = beside(d, "four", "two", "two", 4)
+    d = beside(d, "windows", "four", "words", WINDOW)
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
     placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.withColumn("placed", F.when(repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
@@ -43,7 +50,14 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     )
     d = d.withColumn("starts", F.sort_array(again))
     covered = F.transform("starts", lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get("starts", k + 1) - i, F.lit(WINDOW))))
-    return d.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("windows", "placed", "starts")
+    return d.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).drop("two", "four", "windows", "placed", "starts")
+
+
+def without(text: Column, characters: str) -> Column:
+    """The text without some characters; each absent one costs a search only."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -52,8 +66,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     d = docs.withColumn("words", word_array(F.col("body")))
     d = d.withColumn("n_words", F.size("words").cast("long")).withColumn("lines", lines)
     d = d.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    d = d.withColumn("word_chars", F.length(F.translate("body", WS, "")).cast("long"))
-    d = d.withColumn("n_symbols", (F.length("body") - F.length(F.translate("body", SYMBOLS, ""))).cast("long"))
+    d = d.withColumn("word_chars", F.length(without(F.col("body"), WS)).cast("long"))
+    d = d.withColumn("n_symbols", (F.length("body") - F.length(without(F.col("body"), SYMBOLS))).cast("long"))
     return repeated_words(d).drop("lines", "words")
 
 
