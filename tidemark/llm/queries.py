@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, exact_dedup, mixing, piece_codec, quality_rules, simhash, substring_dedup
+from . import chat_format, exact_dedup, mixing, piece_codec, quality_rules, simhash, substring_dedup, suffix_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +48,16 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(_docs(spark, sf_dir), piece_model())
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(_docs(spark, sf_dir), contents=False).drop("spans")
+
+
 def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.paired_by_id(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op5_simhash, op6_quality_rules, op7_source_mix, op8_sentencepiece, op10_preference_format)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op5_simhash, op6_quality_rules, op7_source_mix, op8_sentencepiece, op9_suffix_dedup, op10_preference_format)}
 
 
 OP6_SQL = r"""
