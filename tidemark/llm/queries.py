@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, exact_dedup, mixing, piece_codec, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import chat_format, exact_dedup, mixing, piece_codec, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(_docs(spark, sf_dir))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.train(docs, quality_classifier.grades(labels))
+    return quality_classifier.scored(docs, model, wanted=2)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_duplicates(_docs(spark, sf_dir))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -57,7 +63,7 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_exact_dedup, op5_simhash, op6_quality_rules, op7_source_mix, op8_sentencepiece, op9_suffix_dedup, op10_preference_format)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_exact_dedup, op5_simhash, op6_quality_rules, op7_source_mix, op8_sentencepiece, op9_suffix_dedup, op10_preference_format)}
 
 
 OP6_SQL = r"""
