@@ -252,7 +252,7 @@ def with_texts(work: DataFrame, docs: DataFrame, parts: int, tasks: int) -> Data
     """Work rows and texts of each part together, the work first."""
     texts = docs.select(doc_part_column("doc_id", parts).alias("part"), F.lit(TEXTS).alias("kind"), F.lit(None).cast("binary").alias("blob"), "doc_id", F.encode("text", "UTF-8").alias("text"))
     both = work.select("part", "kind", "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("text")).unionByName(texts)
-    return both.repartition(tasks, "part").sortWithinPartitions("part", "kind")
+    return both.repartitionById(tasks, "part").sortWithinPartitions("part", "kind")
 
 
 def documents_with(batches: Iterator[pa.RecordBatch], *dtypes: str) -> Iterator[tuple[object, bytes, list[np.ndarray]]]:
@@ -414,10 +414,10 @@ def without_repeats(docs: DataFrame, contents: bool = True, id_col: str = "doc_i
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PER_TASK))
-    parts = 4 * tasks
+    parts = tasks  # a part is a partition: rows between two steps are at most tasks * parts
 
     def through(shuffled: DataFrame, step, name: str) -> DataFrame:
-        return staged(shuffled.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(step, ROW), name)
+        return staged(shuffled.repartitionById(tasks, "part").sortWithinPartitions("part").mapInArrow(step, ROW), name)
 
     phrases = through(texts.mapInArrow(phrase_rows(parts), ROW), resolve_phrases(parts), "phrases")
     collect_garbage(spark)
