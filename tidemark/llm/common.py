@@ -38,12 +38,12 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-work/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+def staged(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost
-    executors, and lets later readers prune columns."""
+    executors, and lets later readers prune columns. ``by`` names a column of few values to split it by."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path, compression="zstd")
+    df.write.parquet(path, compression="zstd", partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, exact_dedup, mixing, piece_codec, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import chat_format, exact_dedup, lm_scoring, mixing, piece_codec, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_docs(spark, sf_dir), piece_model())
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_docs(spark, sf_dir))
     return out.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id", "component_size")
@@ -63,7 +67,7 @@ def op10_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_exact_dedup, op5_simhash, op6_quality_rules, op7_source_mix, op8_sentencepiece, op9_suffix_dedup, op10_preference_format)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_exact_dedup, op4_lm_scoring, op5_simhash, op6_quality_rules, op7_source_mix, op8_sentencepiece, op9_suffix_dedup, op10_preference_format)}
 
 
 OP6_SQL = r"""
