@@ -26,20 +26,22 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import attention
 from .attention import BLOCK, Attention
-from .common import staged, text_or_empty
-from .piece_codec import SPACE, load_vocabulary, worker_codec
+from .common import staged, text_or_empty, worker_cache
+from .piece_codec import SPACE, load_vocabulary
 
 SHARE = 0.4
-CLASSES, KINDS = 160, 256
-BATCH_BYTES, WORDS_PER_TASK, WINDOWS_PER_TRAINER = 12_000_000, 2_000_000, 40_000
+CLASSES, KINDS = 128, 256
+BATCH_BYTES, WORDS_PER_TASK, WINDOWS_PER_TRAINER = 5_000_000, 2_000_000, 40_000
 #: Kinds of work rows; a batch sorts after the answers to its questions.
 ASKED, PAIRS, WINDOWS, BATCH, STATS = "asked", "pairs", "windows", "batch", "stats"
 ROW = "kind string, part int, batch long, n long, blob binary"
@@ -86,9 +88,9 @@ def laid_out(stream: np.ndarray, sizes: np.ndarray, begin_id: int) -> tuple[np.n
     start = (np.cumsum(blocks) - blocks) * BLOCK
     place = np.repeat(start - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(stream))
     total = int(blocks.sum())
-    targets = np.zeros(total * BLOCK, np.int64)
+    targets = np.zeros(total * BLOCK, np.int32)
     targets[place] = stream
-    inputs = np.zeros(total * BLOCK, np.int64)
+    inputs = np.zeros(total * BLOCK, np.int32)
     inputs[1:] = targets[:-1]
     inputs[start] = begin_id
     first = np.zeros(total, bool)
@@ -96,48 +98,70 @@ def laid_out(stream: np.ndarray, sizes: np.ndarray, begin_id: int) -> tuple[np.n
     return inputs.reshape(-1, BLOCK), targets.reshape(-1, BLOCK), first, place
 
 
-def encode_batches(vocabulary, parts: int, stride: int):
+def tokenizer(model: bytes):
+    """One SentencePiece processor for each Python worker."""
+    import sentencepiece
+
+    cache = worker_cache()
+    if cache.get("sentencepiece", (None,))[0] != model:
+        cache["sentencepiece"] = (model, sentencepiece.SentencePieceProcessor(model_proto=model))
+    return cache["sentencepiece"][1]
+
+
+def numbered(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words, lower-cased in A-Z, the word numbers of all texts, and how many words each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate(([0], np.cumsum(full)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    found = words.filter(pa.array(full)).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), np.diff(ends)
+
+
+def encode_batches(shared, parts: int, stride: int):
     """Texts to batches: word numbers and dictionary, questions for counts, pair counts, training windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(vocabulary)
-        size = len(codec.pieces)
-        number, ids, texts, held = 0, [], [], 0
+        pieces = tokenizer(shared.value)
+        number, base = 0, TaskContext.get().partitionId() << 24
+        held, rows = 0, []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-                ids.append(doc_id)
-                texts.append(text.as_py())
-                held += len(texts[-1])
-                if held > BATCH_BYTES:
-                    yield record(encode(codec, size, ids, texts, (TaskContext.get().partitionId() << 24) + number))
-                    number, ids, texts, held = number + 1, [], [], 0
-        if ids:
-            yield record(encode(codec, size, ids, texts, (TaskContext.get().partitionId() << 24) + number))
-
-    def encode(codec, size: int, ids: list, texts: list[bytes], batch: int) -> list[tuple]:
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < batch.num_rows:  # whole texts, until the batch is full
+                before = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, before + BATCH_BYTES - held, "right")))
+                rows.append(batch.slice(start, stop - start))
+                held += int(sizes[min(stop, len(sizes)) - 1] - before)
+                start = stop
+                if held >= BATCH_BYTES or start < batch.num_rows:
+                    yield record(encode(pieces, pa.Table.from_batches(rows).combine_chunks(), base + number))
+                    number, held, rows = number + 1, 0, []
+        if rows:
+            yield record(encode(pieces, pa.Table.from_batches(rows).combine_chunks(), base + number))
+
+    def encode(pieces, texts: pa.Table, batch: int) -> list[tuple]:
         import xxhash
 
-        eos = int(np.frombuffer(codec.eos, "<u4")[0])
-        bos = int(np.frombuffer(codec.bos, "<u4")[0])
-        numbers: dict[bytes, int] = {}
-        counts, stream = [], []
-        for text in texts:
-            words = text.lower().split()
-            words.append(b"")  # the end
-            counts.append(len(words))
-            stream += [numbers.setdefault(w, len(numbers)) for w in words]
-        stream = np.array(stream, np.uint32)
-        hash64, memo = xxhash.xxh3_64_intdigest, codec.memo
-        hashes = np.array([hash64(w) for w in numbers], np.uint64)
-        spell = [memo[SPACE + w.decode()] if w else codec.eos for w in numbers]
+        ids = texts.column(0).to_pylist()
+        bos, eos, size = pieces.bos_id(), pieces.eos_id(), pieces.get_piece_size()
+        words, found, counts = numbered(pa.concat_arrays(texts.column(1).chunks) if texts.num_rows else pa.array([], pa.string()))
+        counts = (counts + 1).astype(np.int32)  # with the end, which is the last number
+        stream = np.full(int(counts.sum()), len(words), np.uint32)
+        inside = np.ones(len(stream), bool)
+        inside[np.cumsum(counts) - 1] = False
+        stream[inside] = found
+        hash64 = xxhash.xxh3_64_intdigest
+        hashes = np.array([*map(hash64, words), hash64(b"\0")], np.uint64)
+        spell = pieces.encode(words, num_threads=1) + [[eos]]
         part = (hashes >> np.uint64(16)).astype(np.int64) % parts
         order = np.argsort(part, kind="stable")
         again = np.empty(len(order), np.uint32)
         again[order] = np.arange(len(order), dtype=np.uint32)
         stream, hashes, part = again[stream], hashes[order], part[order]
-        lengths = np.array([len(s) // 4 for s in spell], np.uint16)[order]
-        spelling = np.frombuffer(b"".join([spell[i] for i in order.tolist()]), "<u4").astype(np.uint16)
-        counts = np.array(counts, np.int32)
+        spell = [spell[i] for i in order.tolist()]
+        lengths = np.fromiter(map(len, spell), np.uint16, len(spell))
+        spelling = np.fromiter(chain.from_iterable(spell), np.uint16, int(lengths.sum(dtype=np.int64)))
         out = np.array([held_out(i) for i in ids], np.uint8)
         trained = np.repeat(out == 0, counts)
         seen = np.bincount(stream[trained], minlength=len(hashes)).astype(np.uint64)
@@ -163,29 +187,37 @@ def encode_batches(vocabulary, parts: int, stride: int):
         before = np.empty(len(stream), np.int64)
         before[1:] = ids[begin[stream[:-1]] + lengths[stream[:-1]] - 1]
         before[np.cumsum(counts) - counts] = bos
-        keys = np.concatenate((ids[at - 1] * size + ids[at], before * size + ids[begin[stream]]))
-        weight = np.concatenate((seen[owner[at]].astype(np.float64), np.ones(len(stream))))
+        across = np.sort((before * size + ids[begin[stream]]).astype(np.uint32))
+        first = np.flatnonzero(np.diff(across, prepend=~across[:1]) != 0)
+        keys = np.concatenate((ids[at - 1] * size + ids[at], across[first].astype(np.int64)))
+        weight = np.concatenate((seen[owner[at]].astype(np.float64), np.diff(np.append(first, len(across)))))
         pairs, which = np.unique(keys, return_inverse=True)
         total = np.bincount(which, weight).astype(np.int64)
         pairs, total = pairs[total > 0], total[total > 0]
         return [(PAIRS, p, batch, 0, packed(pairs[mine], total[mine])) for p in range(PAIR_PARTS) if (mine := pairs // size % PAIR_PARTS == p).any()]
 
     def window_rows(stream, counts, doc_ids, lengths, spelling, bos: int, batch: int) -> list[tuple]:
-        ids, each = spelled(stream, lengths, spelling)
-        sizes = np.add.reduceat(each, np.cumsum(counts) - counts)
-        inputs, targets, first, place = laid_out(ids, sizes, bos)
+        """The blocks of every text whose hash falls in one of ``stride``, with the block before and the next ids."""
+        each = lengths[stream].astype(np.int64)
+        ends = np.cumsum(each)
+        last = ends[np.cumsum(counts) - 1]
+        sizes = np.diff(last, prepend=0)
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(blocks)), blocks)
-        nth = np.arange(len(inputs)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         mixed = (doc_ids[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
         chosen = np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(stride) == 0)
         if not len(chosen):
             return []
-        valid = np.zeros(inputs.size, np.uint8)
-        valid[place] = 1
-        context = inputs[np.maximum(chosen - 1, 0)]
-        both = np.concatenate((context, inputs[chosen]), axis=1).astype(np.uint16)
-        return [(WINDOWS, 0, batch, len(chosen), packed(both.ravel(), targets[chosen].astype(np.uint16).ravel(), first[chosen].astype(np.uint8), valid.reshape(-1, BLOCK)[chosen].ravel()))]
+        owner, nth = owner[chosen], nth[chosen]
+        place = (nth * BLOCK)[:, None] + np.arange(-BLOCK - 1, BLOCK)[None, :]  # places in the text; -1 is the begin id
+        at = np.clip(place, 0, sizes[owner][:, None] - 1) + (last - sizes)[owner][:, None]
+        word = np.searchsorted(ends, at.ravel(), "right")
+        begin = np.cumsum(lengths, dtype=np.int64) - lengths
+        ids = spelling[begin[stream[word]] + at.ravel() - (ends - each)[word]].reshape(at.shape).copy()
+        ids[place < 0] = bos
+        valid = (place[:, BLOCK + 1 :] < sizes[owner][:, None]).astype(np.uint8)
+        return [(WINDOWS, 0, batch, len(chosen), packed(ids[:, :-1].ravel(), ids[:, BLOCK + 1 :].ravel(), (nth == 0).astype(np.uint8), valid.ravel()))]
 
     return run
 
@@ -358,7 +390,8 @@ def score_documents(docs: DataFrame, model_path: str, stride: int = 16, rounds:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score (of the attention model alone)."""
     spark = docs.sparkSession
     vocabulary = load_vocabulary(model_path)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    with open(model_path, "rb") as f:
+        shared = spark.sparkContext.broadcast(f.read())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     default = int(spark.conf.get("spark.sql.shuffle.partitions"))
