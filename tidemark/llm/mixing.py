@@ -28,7 +28,8 @@ def random_key(id_col: str, seed: int) -> Column:
 def source_targets(sized: DataFrame, weights: tuple, share: float, max_epochs: float) -> DataFrame:
     """One row a source: target = min(max_epochs * size, level * weight), where the level makes the
     targets add up to ``share`` of all sizes. That is the fixed point of capping and resharing the
-    excess by weight. The windows here run over sources, not documents."""
+    excess by weight. With sources by cap / weight, each level supposes that those before are capped; of
+    the levels that cap none after, the highest is the one. The windows here run over sources, not documents."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").isNull(), F.col("source"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, len(weights)) + 1).cast("int"))
@@ -42,7 +43,7 @@ def source_targets(sized: DataFrame, weights: tuple, share: float, max_epochs: f
         .withColumn("free", F.sum("weight").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
         .withColumn("budget", share * F.sum("source_size").over(everything))
         .withColumn("level", (F.col("budget") - F.col("capped")) / F.col("free"))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     )
     return t.select("source", "source_size", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")).alias("target"))
 

@@ -179,7 +179,7 @@ WITH d AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
 ), t AS (
-  SELECT source, source_size, coalesce(least(cap, weight * min(CASE WHEN level <= ratio THEN level END) OVER ()), cap) AS target FROM l
+  SELECT source, source_size, coalesce(least(cap, weight * max(CASE WHEN level <= ratio THEN level END) OVER ()), cap) AS target FROM l
 ), p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN floor((t.target + 1e-6) / t.source_size) ELSE 0 END AS epochs,
