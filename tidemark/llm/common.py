@@ -87,3 +87,14 @@ def partitions(spark: SparkSession, rows: int, per_task: int) -> int:
 def worker_cache() -> dict:
     """A dict that lives as long as the Python worker, whatever task it runs."""
     return sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
+
+
+#: Up to this many ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``gone`` (one column ``gone``, no nulls). Rows without an id stay."""
+    gone = staged(gone, "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["gone"], "left_anti")

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import SEP, shared_dir, staged, table_path, text_or_empty, unstage
+from .common import SEP, shared_dir, staged, table_path, text_or_empty, unstage, without_ids
 from .components import join_hot
 
 #: Above this many digests with copies they are joined by shuffle instead of broadcast (40 bytes each).
@@ -107,7 +107,11 @@ def exact_duplicates(
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest", "locator")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Rows of ``docs`` that stay, all columns; of repeated rows under a kept id one stays."""
-    keep = exact_duplicates(docs, id_col=id_col, **options).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi").dropDuplicates([id_col])
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``docs`` that stay, all columns. Of rows that repeat an id and text one stays; rows without
+    an id can't be told apart by it and stay, once for each text."""
+    verdict = staged(exact_duplicates(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", "kept"), "dedup-verdict")
+    gone = verdict.where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    out = without_ids(docs, gone, id_col)
+    repeated = verdict.groupBy("doc_id").count().where("count > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates([id_col, text_col])

@@ -158,6 +158,22 @@ def scored(docs: DataFrame, model: OrdinalModel | None, wanted: float, least: fl
     return texts.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
+def accepted(docs: DataFrame, model: OrdinalModel | None, wanted: float, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that the model accepts, all columns, without a join."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            s = np.array([m.score(features(t or b"")) for t in batch.column(place).cast(pa.binary()).to_pylist()], float)
+            yield batch.filter(pa.array(m.tail(s, wanted) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """Ratings of the labels table: 0 toxic, 1 poor, 2 good; null if a label is missing."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2).alias("grade"))
