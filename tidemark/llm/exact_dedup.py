@@ -44,6 +44,9 @@ def _run_stream(source: DataFrame, files_per_trigger: int | None) -> DataFrame:
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no preallocated files
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "128")
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # stores leave memory once written
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     reader = session.readStream.schema(source.schema)
     if files_per_trigger:
