@@ -56,6 +56,12 @@ def unstage(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds what Spark hands to Python at once by bytes too: texts may be very long."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("", "67108864b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def collect_garbage(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished steps; it does so when the driver's heap is collected."""
     import gc

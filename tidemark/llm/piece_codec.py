@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_or_empty, worker_cache
+from .common import bounded_batches, text_or_empty, worker_cache
 
 SPACE = "▁"
 #: Bounds of what a worker remembers: stretches (and their length), and tested pairs.
-MEMO, MEMO_LENGTH, PAIRS = 200_000, 64, 1_000_000
+MEMO, MEMO_LENGTH, PAIRS = 120_000, 64, 400_000
 
 
 def merged(symbols: list[str], rank: dict[str, int]) -> list[str]:
@@ -221,13 +221,18 @@ def worker_codec(vocabulary) -> Codec:
 
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: every row of ``docs``, encoded."""
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(vocabulary)
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids = [codec.encode(t) for t in part.column(1).to_pylist()]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -248,6 +253,7 @@ def decoded(encoded_docs: DataFrame, model_path: str) -> DataFrame:
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoding and decoding in one pass, digests only,
     so that the id arrays never travel between Python and the JVM."""
+    bounded_batches(docs.sparkSession)
     vocabulary = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

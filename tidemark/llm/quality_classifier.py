@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 BUCKETS = 1 << 18
 SYMBOLS = frozenset(b"#*$%&|<>{}[]=_^~@\\/")
@@ -146,6 +146,7 @@ def scored(docs: DataFrame, model: OrdinalModel | None, wanted: float, least: fl
     if model is None:
         null = F.lit(None).cast("double")
         return texts.select("doc_id", null.alias("expected_grade"), null.alias("tail_probability"), F.lit(True).alias("kept"))
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +163,7 @@ def accepted(docs: DataFrame, model: OrdinalModel | None, wanted: float, least:
     """Rows of ``docs`` that the model accepts, all columns, without a join."""
     if model is None:
         return docs
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import staged, text_or_empty
+from .common import bounded_batches, staged, text_or_empty
 from .components import components, join_hot
 
 BLOCKS, REFERENCES, LIMIT = 6, 8, 4
@@ -71,6 +71,7 @@ def wide_fingerprint(text: str, width: int, words: int) -> list[int]:
 def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (64 bits as a signed long), and fp1, fp2... for further words."""
     names = word_names(words)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
