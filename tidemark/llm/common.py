@@ -58,7 +58,7 @@ def unstage(spark: SparkSession, *frames: DataFrame) -> None:
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bounds what Spark hands to Python at once by bytes too: texts may be very long."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") in ("", "67108864b"):
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # Spark's own default
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
