@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 
 
@@ -62,7 +63,6 @@ def not_static(url: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """Names for SQL: hash_code(text, factor), split_words(text, separator) (a table function), avg_temp, top_two."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf, udtf
 
     @pandas_udf("int")

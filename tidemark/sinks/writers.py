@@ -95,16 +95,18 @@ def jdbc_insert(df: DataFrame, url: str, table: str, driver: str | None = None)
 
 
 def jdbc_upsert(df: DataFrame, url: str, table: str, keys: list[str], order: list[str], driver: str | None = None, op: str | None = None) -> None:
-    """UPDATE, then INSERT if no row had the key; with ``op`` = D, DELETE. One connection and one transaction for
-    each partition; errors fail the task, and a task that runs again comes to the same table."""
+    """UPDATE, then INSERT if no row had the key; with ``op`` = D, DELETE. The newest row of each key goes through
+    one connection of the driver in one transaction, partition by partition; an error undoes it all, and a batch
+    that runs again comes to the same table. Meant for what an application database takes in one batch."""
     rows = last_per_key(df, keys, order)
     columns = [c for c in rows.columns if c != op]
     rest = [c for c in columns if c not in keys]
-    where = " AND ".join(f"{k} = ?" for k in keys)
-    update = f"UPDATE {table} SET {', '.join(f'{c} = ?' for c in rest)} WHERE {where}"
-    insert = f"INSERT INTO {table} ({', '.join(columns)}) VALUES ({', '.join('?' for _ in columns)})"
-    delete = f"DELETE FROM {table} WHERE {where}"
     jvm = df.sparkSession.sparkContext._jvm
+    quoted = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
+    where = " AND ".join(f"{quoted(k)} = ?" for k in keys)
+    update = f"UPDATE {table} SET {', '.join(f'{quoted(c)} = ?' for c in rest)} WHERE {where}"
+    insert = f"INSERT INTO {table} ({', '.join(map(quoted, columns))}) VALUES ({', '.join('?' for _ in columns)})"
+    delete = f"DELETE FROM {table} WHERE {where}"
     if driver:
         jvm.java.lang.Class.forName(driver)
     connection = jvm.java.sql.DriverManager.getConnection(url)

@@ -22,6 +22,11 @@ def _in_order(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
 
 
+def _out(columns: dict) -> pd.DataFrame:
+    """Columns as plain objects: pandas' own string type does not convert."""
+    return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
+
+
 class _Processor(StatefulProcessor):
     state_schema = ""
 
@@ -61,7 +66,7 @@ class RiseAlert(_Processor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last, timer = self.get((None, 0))
         self.state.update((last, 0))
-        yield pd.DataFrame({"id": [key[0]], "alert_at": [expiredTimerInfo.getExpiryTimeInMs()]})
+        yield _out({"id": [key[0]], "alert_at": [expiredTimerInfo.getExpiryTimeInMs()]})
 
 
 def rise_alerts(stream: DataFrame, key: str, ts: str, value: str, lasting_ms: int, event_time: bool = True) -> DataFrame:
@@ -95,12 +100,12 @@ class OrderMatch(_Processor):
                 timer = ms + (self.deadline if kind == "create" else 0)
                 self.handle.registerTimer(timer)
         self.state.update((created, payed, timer))
-        yield pd.DataFrame({"id": [key[0]] * len(out), "outcome": out})
+        yield _out({"id": [key[0]] * len(out), "outcome": out})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         created, payed, timer = self.get((None, None, 0))
         self.state.clear()
-        yield pd.DataFrame({"id": [key[0]], "outcome": ["order timeout" if payed is None else "already payed but not found created log"]})
+        yield _out({"id": [key[0]], "outcome": ["order timeout" if payed is None else "already payed but not found created log"]})
 
 
 def order_matches(stream: DataFrame, key: str, ts: str, kind: str, deadline_ms: int = 900_000) -> DataFrame:
@@ -133,12 +138,12 @@ class TwoStreamMatch(_Processor):
                 waiting, timer = side, ms + self.waits[side]
                 self.handle.registerTimer(timer)
         self.state.update((waiting, timer))
-        yield pd.DataFrame({"id": [key[0]] * len(out), "outcome": out})
+        yield _out({"id": [key[0]] * len(out), "outcome": out})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         waiting, _ = self.get((None, 0))
         self.state.clear()
-        yield pd.DataFrame({"id": [key[0]], "outcome": [f"{waiting}_only"]} if waiting else {})
+        yield _out({"id": [key[0]], "outcome": [f"{waiting}_only"]} if waiting else {})
 
 
 def two_stream_matches(tagged: DataFrame, key: str, ts: str, side: str, waits_ms: dict[str, int]) -> DataFrame:
@@ -164,7 +169,7 @@ class PairwiseAverage(_Processor):
                 out.append((waiting + int(x)) // 2)
                 waiting = None
         self.state.update((waiting,))
-        yield pd.DataFrame({"id": [key[0]] * len(out), "average": out})
+        yield _out({"id": [key[0]] * len(out), "average": out})
 
 
 def pairwise_averages(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -194,7 +199,7 @@ class LoginFailures(_Processor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         (times,) = self.get(([],))
         self.state.update(([],))
-        yield pd.DataFrame({"id": [key[0]], "first_ms": [times[0]], "last_ms": [times[-1]], "times": [len(times)]} if len(times) >= self.least else {})
+        yield _out({"id": [key[0]], "first_ms": [times[0]], "last_ms": [times[-1]], "times": [len(times)]} if len(times) >= self.least else {})
 
 
 def login_failures(stream: DataFrame, key: str, ts: str, failed: str, wait_ms: int = 5000, least: int = 2) -> DataFrame:
@@ -219,7 +224,7 @@ class Blacklist(_Processor):
             if count <= self.most + 1:
                 found.append((at, "pass" if count <= self.most else "warn"))
         self.state.update((day, count))
-        yield pd.DataFrame({"key1": [key[0]] * len(found), "key2": [key[1]] * len(found), "ts": [f[0] for f in found], "verdict": [f[1] for f in found]})
+        yield _out({"key1": [key[0]] * len(found), "key2": [key[1]] * len(found), "ts": [f[0] for f in found], "verdict": [f[1] for f in found]})
 
 
 def blacklisted(stream: DataFrame, keys: tuple[str, str], ts: str, most: int = 100) -> DataFrame:
