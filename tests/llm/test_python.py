@@ -230,8 +230,6 @@ def test_links_connect_like_brute_force(spark, monkeypatch, hot):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
     got = {(min(r.a, r.b), max(r.a, r.b)) for r in links.collect()}
-    assert all(near(a & (1 << 64) - 1, b & (1 << 64) - 1) for a, b in got)
-
     def groups(pairs):
         root = {x: x for x in signed}
 
@@ -261,6 +259,18 @@ def test_forest_of_a_large_key():
     assert simhash.survivors(fps[x], fps[y]).all() and len(x) >= len(fps) - 3
 
 
+def test_local_components():
+    rng = np.random.default_rng(0)
+    a, b = rng.integers(0, 500, 300), rng.integers(0, 500, 300)
+    node, root = simhash.local_components(np.concatenate((a, np.arange(600, 700))), np.concatenate((b, np.arange(601, 701))))
+    label = dict(zip(node.tolist(), root.tolist()))
+    group = {x: x for x in range(701)}
+    for _ in range(701):
+        for x, y in [*zip(a.tolist(), b.tolist()), *((k, k + 1) for k in range(600, 700))]:
+            group[x] = group[y] = min(group[x], group[y])
+    assert all(label.get(x, x) == group[x] for x in range(701))
+
+
 def test_simhash_documents(spark, table):
     d = table.select("doc_id", "text").unionByName(docs(spark, (10**6, None), (10**6 + 2, ""), (10**6 + 1, " "))).withColumn("component_id", F.lit(1))
     got = {r.doc_id: r for r in simhash.near_duplicates(d).collect()}

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import attention
 from .attention import BLOCK, Attention
-from .common import staged, text_or_empty, worker_cache
+from .common import staged, text_or_empty, tidy, worker_cache
 from .piece_codec import SPACE, load_vocabulary
 
 SHARE = 0.4
@@ -276,7 +276,7 @@ def table(pairs: DataFrame, row: str, column: str, of: np.ndarray, shape: tuple[
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value[b.column(1).to_numpy()]), b.column(2)], ["a", "b", "n"])
 
-    cells = pairs.select(row, column, "n").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    cells = pairs.select(row, column, "n").mapInArrow(tidy(run, ("sentencepiece",)), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(shape, np.float32)
     out[cells["a"].to_numpy(), cells["b"].to_numpy()] = cells["n"].to_numpy()
     return out
@@ -331,7 +331,7 @@ def trained(model: Attention, windows: DataFrame, rounds: int) -> Attention:
     dealt = windows.repartitionById(trainers, F.pmod("batch", F.lit(trainers)).cast("int")).sortWithinPartitions("batch").select("blob")
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        found = dealt.mapInArrow(train_with(shared, turn), ROW).repartitionById(WEIGHT_PARTS, "part").sortWithinPartitions("part", "n").mapInArrow(average, ROW).collect()
+        found = dealt.mapInArrow(tidy(train_with(shared, turn), ("sentencepiece",)), ROW).repartitionById(WEIGHT_PARTS, "part").sortWithinPartitions("part", "n").mapInArrow(tidy(average, ("sentencepiece",)), ROW).collect()
         if not found:
             continue
         flat = np.concatenate([np.frombuffer(r.blob, np.float32, offset=16) for r in sorted(found, key=lambda r: r.part)])
@@ -397,17 +397,17 @@ def score_documents(docs: DataFrame, model_path: str, stride: int = 16, rounds:
     default = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(default, -(-size // (6 * WORDS_PER_TASK)))
 
-    work = staged(texts.mapInArrow(encode_batches(shared, parts, stride), ROW), "lm-batches", by="kind")
+    work = staged(texts.mapInArrow(tidy(encode_batches(shared, parts, stride), ("sentencepiece",)), ROW), "lm-batches", by="kind")
     of = lambda kind: work.where(F.col("kind") == kind).select("kind", "part", "batch", "n", "blob")
-    answers = staged(of(ASKED).repartitionById(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(count_words, ROW), "lm-counts", by="kind")
+    answers = staged(of(ASKED).repartitionById(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(count_words, ("sentencepiece",)), ROW), "lm-counts", by="kind")
     stats = [(r.n, int(np.frombuffer(r.blob, np.uint64, offset=16)[0])) for r in answers.where(F.col("kind") == STATS).select("n", "blob").toLocalIterator()]
     words, tokens = sum(s[0] for s in stats), sum(s[1] for s in stats)
 
-    pairs = of(PAIRS).repartitionById(PAIR_PARTS, "part").sortWithinPartitions("part", "batch").mapInArrow(sum_pairs(len(vocabulary["pieces"])), "before int, next int, n long")
+    pairs = of(PAIRS).repartitionById(PAIR_PARTS, "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(sum_pairs(len(vocabulary["pieces"])), ("sentencepiece",)), "before int, next int, n long")
     pairs = staged(pairs, "lm-pairs")
     model = trained(initial_model(pairs, vocabulary), of(WINDOWS), rounds)
 
     both = answers.where(F.col("kind") == ASKED).select("kind", "part", "batch", "n", "blob").unionByName(of(BATCH))
     tasks = max(default, -(-size // BATCH_BYTES))
     together = both.repartition(tasks, "batch").sortWithinPartitions("batch", F.col("kind") == BATCH, "part")
-    return together.mapInArrow(score_batches(spark.sparkContext.broadcast(model), tokens, words, vocabulary["bos"]), SCORED)
+    return together.mapInArrow(tidy(score_batches(spark.sparkContext.broadcast(model), tokens, words, vocabulary["bos"])), SCORED)

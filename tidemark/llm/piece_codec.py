@@ -24,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, text_or_empty, worker_cache
+from .common import bounded_batches, text_or_empty, tidy, worker_cache
 
 SPACE = "▁"
 #: Bounds of what a worker remembers: stretches (and their length), and tested pairs.
-MEMO, MEMO_LENGTH, PAIRS = 120_000, 64, 400_000
+MEMO, MEMO_LENGTH, PAIRS = 120_000, 64, 200_000
 
 
 def merged(symbols: list[str], rank: dict[str, int]) -> list[str]:
@@ -234,7 +234,7 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(tidy(run, ("piece_codec",)), "doc_id long, ids array<int>")
 
 
 def decoded(encoded_docs: DataFrame, model_path: str) -> DataFrame:
@@ -247,7 +247,7 @@ def decoded(encoded_docs: DataFrame, model_path: str) -> DataFrame:
             texts = [codec.decode(np.asarray(x or [], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded_docs.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded_docs.select("doc_id", "ids").mapInArrow(tidy(run, ("piece_codec",)), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,4 +268,4 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(tidy(run, ("piece_codec",)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_batches, text_or_empty, tidy
 
 BUCKETS = 1 << 18
 SYMBOLS = frozenset(b"#*$%&|<>{}[]=_^~@\\/")
@@ -133,7 +133,7 @@ def train(docs: DataFrame, ratings: DataFrame, max_labelled: int = 12_000, id_co
 
     texts = docs.select(F.col(id_col).alias("did"), text_or_empty(text_col).alias("text"))
     picked = texts.join(F.broadcast(sample), F.col("did") == F.col("rid")).select(F.col("rid").cast("long").alias("rid"), "grade", "text")
-    found = picked.mapInArrow(run, "rid long, grade double, features binary").collect()
+    found = picked.mapInArrow(tidy(run), "rid long, grade double, features binary").collect()
     found = sorted(found, key=lambda r: (r.rid, r.features))
     if not found:
         return None
@@ -156,7 +156,7 @@ def scored(docs: DataFrame, model: OrdinalModel | None, wanted: float, least: fl
             tail = m.tail(s, wanted)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.expected(s)), pa.array(tail), pa.array(tail >= least)], ["doc_id", "expected_grade", "tail_probability", "kept"])
 
-    return texts.mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, kept boolean")
+    return texts.mapInArrow(tidy(run), "doc_id long, expected_grade double, tail_probability double, kept boolean")
 
 
 def accepted(docs: DataFrame, model: OrdinalModel | None, wanted: float, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -173,7 +173,7 @@ def accepted(docs: DataFrame, model: OrdinalModel | None, wanted: float, least:
             s = np.array([m.score(features(t or b"")) for t in batch.column(place).cast(pa.binary()).to_pylist()], float)
             yield batch.filter(pa.array(m.tail(s, wanted) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def grades(labels: DataFrame) -> DataFrame:

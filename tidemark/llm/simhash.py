@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, staged, text_or_empty
+from .common import bounded_batches, staged, text_or_empty, tidy
 from .components import components, join_hot
 
 BLOCKS, REFERENCES, LIMIT = 6, 8, 4
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = 4, words: int = 1, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(words))], ["doc_id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def word_names(words: int) -> list[str]:
@@ -167,6 +167,25 @@ def _run_links(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return forest(fps, limit)
 
 
+def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links as stars: every id but the smallest of each connected set, with that smallest one. What many
+    keys find of one group comes out as the same few links."""
+    names, both = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = both[: len(a)], both[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        before = label.copy()
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        np.minimum.at(label, before, label)  # roots follow their members
+        label = label[label]
+        if (label == before).all():
+            break
+    node = np.flatnonzero(label != np.arange(len(names)))
+    return names[node], names[label[node]]
+
+
 def key_links(words: int, limit: int):
     """Links within runs of equal keys; batches (key, id, words...) come sorted by key."""
 
@@ -190,9 +209,8 @@ def key_links(words: int, limit: int):
             b.append(y + start)
         if not a or not sum(map(len, a)):
             return None
-        x, y = ids[np.concatenate(a)], ids[np.concatenate(b)]
-        pairs = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y))), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        node, root = local_components(ids[np.concatenate(a)], ids[np.concatenate(b)])
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)
@@ -221,7 +239,7 @@ def fingerprint_links(different: DataFrame) -> DataFrame:
         split = with_pivot_keys(keyed.join(crowded, "key"), "fp", 1, "key").select("key", "fp")
         keyed = keyed.join(crowded, "key", "left_anti").unionByName(split)
     shuffled = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return shuffled.select("key", F.col("fp").alias("id"), "fp").mapInArrow(key_links(1, LIMIT), "a long, b long")
+    return shuffled.select("key", F.col("fp").alias("id"), "fp").mapInArrow(tidy(key_links(1, LIMIT)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +278,7 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     different = staged(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "wide-different")
     nodes = different.select(F.col("node").alias("id"), *names)
     keyed = reduce(DataFrame.unionByName, [with_pivot_keys(nodes, n, 0, blocks=SIMILAR_BLOCKS).select("key", "id", *names) for n in names[:SIMILAR_KEYED]])
-    links = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "id")).mapInArrow(key_links(SIMILAR_WORDS, SIMILAR_LIMIT), "a long, b long")
+    links = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "id")).mapInArrow(tidy(key_links(SIMILAR_WORDS, SIMILAR_LIMIT)), "a long, b long")
     member = staged(components(links), "wide-members").withColumnRenamed("node", "m")
     joined = different.select("node", "first", "copies").join(member, F.col("node") == F.col("m"), "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
     joined = staged(joined, "wide-joined")

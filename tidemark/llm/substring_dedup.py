@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged, text_or_empty
+from .common import staged, text_or_empty, tidy
 
 BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[ \t\r\x0b\x0c]*\n\s*")}
 #: Up to this many repeated digests (16 bytes and an occurrence each) are broadcast.
@@ -55,7 +55,7 @@ def unit_rows(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
         ids, starts, stops, digests = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(stops, pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "start", "stop", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, UNIT)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), UNIT)
 
 
 def repeated_spans(docs: DataFrame, unit: str = "line", min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

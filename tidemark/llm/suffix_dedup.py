@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import collect_garbage, staged, text_or_empty
+from .common import collect_garbage, staged, text_or_empty, tidy
 
 K, LENGTH = 32, 100
 #: Bytes parsed at once; positions within it take 20 bits of a packed hash.
@@ -417,15 +417,15 @@ def without_repeats(docs: DataFrame, contents: bool = True, id_col: str = "doc_i
     parts = tasks  # a part is a partition: rows between two steps are at most tasks * parts
 
     def through(shuffled: DataFrame, step, name: str) -> DataFrame:
-        return staged(shuffled.repartitionById(tasks, "part").sortWithinPartitions("part").mapInArrow(step, ROW), name)
+        return staged(shuffled.repartitionById(tasks, "part").sortWithinPartitions("part").mapInArrow(tidy(step), ROW), name)
 
-    phrases = through(texts.mapInArrow(phrase_rows(parts), ROW), resolve_phrases(parts), "phrases")
+    phrases = through(texts.mapInArrow(tidy(phrase_rows(parts)), ROW), resolve_phrases(parts), "phrases")
     collect_garbage(spark)
     asked = with_texts(phrases.where(F.col("kind") == REQUESTS), texts, parts, tasks)
-    ranked = through(asked.mapInArrow(fetch_phrases(parts), ROW), resolve_dictionary(parts), "dictionary")
+    ranked = through(asked.mapInArrow(tidy(fetch_phrases(parts)), ROW), resolve_dictionary(parts), "dictionary")
     collect_garbage(spark)
     spans = phrases.where(F.col("kind") == SPANS).unionByName(ranked)
     out = with_texts(spans, texts, parts, tasks).mapInArrow(
-        cut_documents(contents), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept binary"
+        tidy(cut_documents(contents)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept binary"
     )
     return out if contents else out.drop("kept")
