@@ -95,3 +95,36 @@ def test_binlog(spark):
     rooms = spark.createDataFrame([(7, "room", 1, "loc", "city")], schemas.MEETING_ADDRESS)
     got = jobs.meetings(spark.createDataFrame([(m,) for m in msgs], "value string"), rooms).collect()
     assert [tuple(r) for r in got] == [(0, "1", 7, "room", "loc", "city")]
+
+
+def test_record_readers(spark, tmp_path, rows):
+    recs = spark.createDataFrame([("a", "1,2,pv", datetime.datetime(2024, 1, 1)), ("b", '{"user":"7","n":"x"}', datetime.datetime(2024, 1, 1))], "topic string, value string, timestamp timestamp")
+    r = readers.csv_records(recs.where("topic = 'a'"), "user_id bigint, item_id bigint, behavior string").first()
+    assert (r.user_id, r.behavior, r.ts) == (1, "pv", datetime.datetime(2024, 1, 1))
+    assert rows(readers.json_topic(recs, "b", "user string, n string, missing int")) == [("7", "x", None)]
+    assert rows(readers.as_topic(spark.createDataFrame([("l",)], "value string"), "t")) == [("t", "l")]
+
+
+def test_partitioned_stream_and_marker_watermark(spark, tmp_path):
+    df = spark.createDataFrame([(1, "sensor_1", datetime.datetime(2024, 1, 1)), (2, "sensor_2", datetime.datetime(2024, 1, 2))], "i int, id string, ts timestamp")
+    df.write.partitionBy("id").parquet(str(tmp_path / "p"))
+    s = readers.partitioned_parquet(spark, str(tmp_path / "p"), "i int, ts timestamp, id string", streaming=True)
+    assert s.isStreaming and readers.partitioned_parquet(spark, str(tmp_path / "p"), "i int, ts timestamp, id string").count() == 2
+    marked = readers.with_marker_watermark(df, "ts", F.col("id") == "sensor_1", "1 second")
+    assert [r.mark_time is None for r in marked.orderBy("i").collect()] == [False, True]
+    assert "pt" in readers.with_processing_time(df).columns
+
+
+def test_supervised_restarts(spark):
+    from tidemark.streaming.routing import supervised
+
+    calls = []
+
+    class Query:
+        def awaitTermination(self):
+            calls.append(1)
+            if len(calls) < 3:
+                raise RuntimeError("lost")
+
+    supervised(Query, attempts=3, pause=0)
+    assert len(calls) == 3

@@ -48,6 +48,11 @@ def topic_files(spark: SparkSession, path: str, streaming: bool = False) -> Data
     return reader.text(path).select("topic", "value")
 
 
+def as_topic(lines: DataFrame, topic: str) -> DataFrame:
+    """Lines as records of one topic, to seed it from a file through a Kafka or topic-file sink."""
+    return lines.select(F.lit(topic).alias("topic"), F.col("value"))
+
+
 def csv_table(spark: SparkSession, path: str, schema: str, name: str | None = None, streaming: bool = False, header: bool = False) -> DataFrame:
     """CSV files as a table, also registered as a view if named."""
     df = (spark.readStream if streaming else spark.read).schema(schema).option("header", header).option("ignoreLeadingWhiteSpace", True).csv(path)
