@@ -24,10 +24,12 @@ WORD = rb"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; set here only where the cluster has set none."""
+    """Folder that driver and executors share. A private one is made only in local mode without a setting."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
