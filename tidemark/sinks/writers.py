@@ -95,39 +95,49 @@ def jdbc_insert(df: DataFrame, url: str, table: str, driver: str | None = None)
 
 
 def jdbc_upsert(df: DataFrame, url: str, table: str, keys: list[str], order: list[str], driver: str | None = None, op: str | None = None) -> None:
-    """UPDATE, then INSERT if no row had the key; with ``op`` = D, DELETE. The newest row of each key goes through
-    one connection of the driver in one transaction, partition by partition; an error undoes it all, and a batch
-    that runs again comes to the same table. Meant for what an application database takes in one batch."""
+    """Update rows of known keys, insert the others; with ``op`` = D, delete.
+
+    The newest row of each key is written in parallel to staging tables of the database, shaped like the
+    table, and a few statements in one transaction bring them into it: nothing passes through the driver.
+    An error undoes all of it, and a batch that runs again comes to the same table.
+    """
     rows = last_per_key(df, keys, order)
     columns = [c for c in rows.columns if c != op]
-    rest = [c for c in columns if c not in keys]
+    new, gone = f"{table}_tidemark_new", f"{table}_tidemark_gone"
     jvm = df.sparkSession.sparkContext._jvm
     quoted = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier
-    where = " AND ".join(f"{quoted(k)} = ?" for k in keys)
-    update = f"UPDATE {table} SET {', '.join(f'{quoted(c)} = ?' for c in rest)} WHERE {where}"
-    insert = f"INSERT INTO {table} ({', '.join(map(quoted, columns))}) VALUES ({', '.join('?' for _ in columns)})"
-    delete = f"DELETE FROM {table} WHERE {where}"
+    names, key_names = ", ".join(map(quoted, columns)), ", ".join(map(quoted, keys))
+    same = " AND ".join(f"s.{quoted(k)} = {table}.{quoted(k)}" for k in keys)
+    assign = ", ".join(f"{quoted(c)} = (SELECT s.{quoted(c)} FROM {new} s WHERE {same})" for c in columns if c not in keys)
     if driver:
         jvm.java.lang.Class.forName(driver)
     connection = jvm.java.sql.DriverManager.getConnection(url)
+    statement = connection.createStatement()
+
+    def drop() -> None:
+        for name in (new, gone):
+            if connection.getMetaData().getTables(None, None, name.upper(), None).next() or connection.getMetaData().getTables(None, None, name, None).next():
+                statement.executeUpdate(f"DROP TABLE {name}")
+
     try:
+        drop()  # what a failed batch left
+        statement.executeUpdate(f"CREATE TABLE {new} AS SELECT {names} FROM {table} WITH NO DATA")
+        statement.executeUpdate(f"CREATE TABLE {gone} AS SELECT {key_names} FROM {table} WITH NO DATA")
+        jdbc_insert((rows.where(F.col(op) != "D") if op else rows).select(*columns), url, new, driver)
+        if op:
+            jdbc_insert(rows.where(F.col(op) == "D").select(*keys), url, gone, driver)
         connection.setAutoCommit(False)
-
-        def run(sql: str, values: list) -> int:
-            statement = connection.prepareStatement(sql)
-            for i, v in enumerate(values, 1):
-                statement.setObject(i, v)
-            done = statement.executeUpdate()
-            statement.close()
-            return done
-
-        for row in rows.toLocalIterator(prefetchPartitions=True):  # partition by partition, never all at once
-            key = [row[k] for k in keys]
-            if op and row[op] == "D":
-                run(delete, key)
-            elif not run(update, [row[c] for c in rest] + key):
-                run(insert, [row[c] for c in columns])
+        statement.executeUpdate(f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {gone} s WHERE {same})")
+        if assign:
+            statement.executeUpdate(f"UPDATE {table} SET {assign} WHERE EXISTS (SELECT 1 FROM {new} s WHERE {same})")
+        statement.executeUpdate(f"INSERT INTO {table} ({names}) SELECT {names} FROM {new} s WHERE NOT EXISTS (SELECT 1 FROM {table} WHERE {same})")
+        connection.commit()
+        drop()
         connection.commit()
+    except Exception:
+        if not connection.getAutoCommit():
+            connection.rollback()
+        raise
     finally:
         connection.close()
 
