@@ -1,8 +1,9 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Every document gets a hash-random key. Within its source the key space is cut into ranges of about
-``rows_per_range`` documents; range totals are prefix-summed per source and each range is sorted and
-prefix-summed on its own, so no task ever holds a source, however hot. A source is taken in whole
+``rows_per_range`` documents, and the ranges into spans. Totals are prefix-summed over the spans of a
+source, over the ranges of a span, and over the sorted documents of a range, so no task ever holds a
+source, however hot. A source is taken in whole
 epochs first, then in key order up to its exact budget.
 
 Defined cases: null text has size 0; a null source is a source of its own and sorts last; rows with
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import staged, text_or_empty, word_count
 
+#: Ranges of a source are gathered into so many spans, so that prefix sums over ranges are spread too.
+SPANS = 1024
 #: Hexadecimal digits of MD5 used as random key: 60 bits, the same in other SQL engines.
 KEY_DIGITS = 15
 
@@ -55,7 +58,7 @@ def mix(
     max_epochs: float = 2.0,
     seed: int = 42,
     boundary: str = "split",
-    rows_per_range: int = 2_000,
+    rows_per_range: int = 100,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -70,12 +73,14 @@ def mix(
     keyed = sized.withColumn("key", random_key("doc_id", seed)).withColumn("range", F.floor(F.col("key") / F.lit(float(16**KEY_DIGITS)) * ranges).cast("int"))
 
     targets = source_targets(sized, weights, share, max_epochs)
-    before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    ends = (
-        keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-        .withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
-        .select(F.col("source").alias("s"), F.col("range").alias("r"), "range_start")
-    )
+    wide = -(-ranges // SPANS)
+    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size")).withColumn("span", F.floor(F.col("range") / wide).cast("int"))
+    start = lambda size, order, *within: F.coalesce(F.sum(size).over(W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    spans = sums.groupBy("source", "span").agg(F.sum("range_size").alias("span_size"))
+    spans = spans.select(F.col("source").alias("s"), F.col("span").alias("p"), start("span_size", "span", "source").alias("span_start"))
+    ends = sums.withColumn("in_span", start("range_size", "range", "source", "span"))
+    ends = ends.join(spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p")))
+    ends = ends.select(F.col("source").alias("s"), F.col("range").alias("r"), (F.col("span_start") + F.col("in_span")).alias("range_start"))
     ends = ends.join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
 
     inside = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
