@@ -19,11 +19,13 @@ def join_hot(rows: DataFrame, keys: DataFrame, on: str, count_col: str, n_rows:
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot_names), on, "left_anti").join(cold, on))
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step on edges (a, b), a > b."""
+def _stars(edges: DataFrame, n_edges: int) -> DataFrame:
+    """One large-star and one small-star step on edges (a, b), a > b. Centres of large stars are hot keys."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(edges.join(low, "a").select("a", F.col("m").alias("b"))).distinct()
+    low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")).select("a", F.least("a", "m").alias("m"), "degree")
+    up = join_hot(both.where("b > a"), low, "a", "degree", 2 * n_edges).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    own = low.where("m < a").select("a", F.col("m").alias("b"))
+    large = up.union(own).distinct()
     least = large.groupBy("a").agg(F.min("b").alias("m"))
     small = large.join(least, "a")
     return small.select("a", F.col("m").alias("b")).union(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a > b").distinct()
@@ -37,13 +39,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
     edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
+    seen, size = None, edges.count()
     for _ in range(most_rounds):
-        after = staged(_stars(edges), "stars")
+        after = staged(_stars(edges, size), "stars")
         unstage(spark, edges)
         edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
-        seen = now
+        seen, size = now, now[0]
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
