@@ -44,6 +44,8 @@ CLASSES, KINDS = 128, 256
 BATCH_BYTES, WORDS_PER_TASK, WINDOWS_PER_TRAINER = 5_000_000, 2_000_000, 40_000
 #: Kinds of work rows; a batch sorts after the answers to its questions.
 ASKED, PAIRS, WINDOWS, BATCH, STATS = "asked", "pairs", "windows", "batch", "stats"
+#: What a stats row counts: different training words, training tokens.
+WORDS, TOKENS = -1, -2
 ROW = "kind string, part int, batch long, n long, blob binary"
 PAIR_PARTS, WEIGHT_PARTS = 16, 16
 
@@ -247,7 +249,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, part, batch, n, _), (hashes, _) in zip(rows, cells):
             out.append((ASKED, part, batch, n, packed(answers[at : at + len(hashes)])))
             at += len(hashes)
-        out.append((STATS, rows[0][1], -1, int(np.count_nonzero(total)), packed(np.array([total.sum()], np.uint64))))
+        out += [(STATS, rows[0][1], WORDS, int(np.count_nonzero(total)), b""), (STATS, rows[0][1], TOKENS, int(total.sum()), b"")]
         yield record(out)
 
 
@@ -400,8 +402,8 @@ def score_documents(docs: DataFrame, model_path: str, stride: int = 16, rounds:
     work = staged(texts.mapInArrow(tidy(encode_batches(shared, parts, stride), ("sentencepiece",)), ROW), "lm-batches", by="kind")
     of = lambda kind: work.where(F.col("kind") == kind).select("kind", "part", "batch", "n", "blob")
     answers = staged(of(ASKED).repartitionById(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(count_words, ("sentencepiece",)), ROW), "lm-counts", by="kind")
-    stats = [(r.n, int(np.frombuffer(r.blob, np.uint64, offset=16)[0])) for r in answers.where(F.col("kind") == STATS).select("n", "blob").toLocalIterator()]
-    words, tokens = sum(s[0] for s in stats), sum(s[1] for s in stats)
+    totals = {r.batch: r.n for r in answers.where(F.col("kind") == STATS).groupBy("batch").agg(F.sum("n").alias("n")).collect()}
+    words, tokens = totals.get(WORDS, 0), totals.get(TOKENS, 0)
 
     pairs = of(PAIRS).repartitionById(PAIR_PARTS, "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(sum_pairs(len(vocabulary["pieces"])), ("sentencepiece",)), "before int, next int, n long")
     pairs = staged(pairs, "lm-pairs")
