@@ -7,6 +7,7 @@ create orders and purchases pay them; the number in ``props`` is the item; ``val
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,7 +23,12 @@ _SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        _QUERIES[f.__name__] = f
+        @wraps(f)
+        def in_utc(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times are UTC without a zone
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = in_utc
         if sql:
             _SQL[f.__name__] = sql
         return f
