@@ -53,3 +53,25 @@ def test_encoding_has_every_row_of_the_mix(kept):
 
 def test_run(spark, kept):
     assert corpus_pipeline.run(spark, SF).count() == kept[-1][1].count()
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls everywhere, empty and very long texts, repeated rows, and columns with names the stages use."""
+    long = " ".join(f"word{k}" for k in range(30_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, long, "en", "s", 1), (3, long, "en", "s", 1), (4, long + " end", "en", "t", 1), (None, "no id at all", None, "s", 2), (None, None, None, None, None), (5, "a b c", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("gone", "kept", "keep_id", "group_id", "fp", "node", "key", "size", "taken", "salt", "grade", "ids", "tail_probability"):
+        docs = docs.selectExpr("*", f"'x' AS {name}")
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, SF), stage(spark, empty, SF)
+        assert none.count() == 0, name
+        ids = [r.doc_id for r in out.select("doc_id").collect()]
+        if name != "sentencepiece encoding":
+            assert out.columns == docs.columns, name
+        if name == "exact dedup":
+            assert sorted(ids, key=str) == sorted([1, 3, 4, 5, None, None], key=str)
+        if name == "simhash near-dedup":
+            assert 4 not in ids and {1, 3, 5, None} <= set(ids)
+        if name == "sentencepiece encoding":
+            assert len(ids) == len(rows)
