@@ -147,3 +147,23 @@ def test_stream_joins(spark, tmp_path, rows):
     assert {r for r in got if r[0] is not None} <= want and all(r[1] is None for r in want - got)  # the last unmatched rows wait for a later batch
     same = lambda i: joins.window_join(sides["a"][i].withColumnRenamed("a_user", "u"), sides["b"][i].withColumnRenamed("b_user", "u"), "u", "a_ts", "b_ts", "1 hour").select("a_id", "b_id")
     assert rows(routing.run_to_memory(same(1), name())) == rows(same(0))
+
+
+def test_complete_mode_order_by(spark, tmp_path, rows):
+    e = spark.read.parquet(f"{SF}/events.parquet").select("event_type", "user_id")
+    e.repartition(3).write.parquet(str(tmp_path / "e"))
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "e"))
+    f = lambda d: d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type").limit(3)
+    assert rows(routing.run_to_memory(f(s), name(), "complete")) == rows(f(e))
+
+
+def test_update_mode_refines_a_window(spark, tmp_path):
+    """Early results, and again after a row that is late but allowed; too late rows change nothing."""
+    t0 = datetime.datetime(2024, 1, 1)
+    out = []
+    for k, part in enumerate([[1, 2, 15], [3], [40], [4]]):
+        spark.createDataFrame([(t0 + datetime.timedelta(seconds=x),) for x in part], "ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+        s = windows.event_time_watermark(spark.readStream.schema("ts timestamp").option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), "ts", "10 seconds")
+        counts = s.groupBy(F.window("ts", "10 seconds")).agg(F.count(F.lit(1)).alias("n"))
+        counts.writeStream.outputMode("update").foreachBatch(lambda d, b: out.extend((r.window.start.second, r.n) for r in d.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [n for at, n in out if at == 0] == [2, 3]
