@@ -92,8 +92,8 @@ def parse_binlog(lines: DataFrame, table: str = "t_meeting_info", value: str = "
     get = lambda path: F.get_json_object(F.col(value), path)
     wanted = lines.where((get("$.isDdl") == "false") & (get("$.table") == table) & (get("$.type") == "INSERT"))
     first = F.get_json_object(F.col(value), "$.data[0]")
-    values = F.map_values(F.from_json(first, "map<string,string>"))
-    item = lambda i: F.get(values, F.lit(i))
-    return wanted.select(
+    rows = wanted.select(F.map_values(F.from_json(first, "map<string,string>")).alias("v"))  # parsed once, used five times
+    item = lambda i: F.get("v", F.lit(i))
+    return rows.select(
         item(0).try_cast("int").alias("meeting_id"), item(1).alias("meeting_code"), item(7).try_cast("int").alias("address_id"), item(13).alias("mstart_date"), item(14).alias("mend_date")
     )
