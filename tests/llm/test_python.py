@@ -176,6 +176,32 @@ def test_attention_gradients():
             assert abs((up - down) / (2 * e) - g[name].ravel()[k]) < 1e-3
 
 
+def test_every_training_window_is_trained(spark, monkeypatch):
+    """Every id after every context of every training text, short texts too, is trained once; none of the held-out texts."""
+    d = docs(spark, *((k, " ".join(f"w{k} x{j}" for j in range(k))) for k in range(60)))
+    pieces = lm_scoring.tokenizer(open(queries.piece_model(), "rb").read())
+    want = Counter()
+    for k in range(60):
+        if not lm_scoring.held_out(k):
+            ids = [i for w in " ".join(f"w{k} x{j}" for j in range(k)).split() for i in pieces.encode(w)] + [pieces.eos_id()]
+            seq = [pieces.bos_id(), *ids]
+            for at in range(0, len(ids), attention.BLOCK):
+                targets = tuple(ids[at : at + attention.BLOCK])
+                want[tuple(seq[max(0, at - attention.BLOCK) : at + len(targets)]), targets] += 1
+    blobs, trained = [], lm_scoring.trained
+    monkeypatch.setattr(lm_scoring, "trained", lambda m, batches, rounds, begin: blobs.append(([r.blob for r in batches.collect()], rounds, begin)) or trained(m, batches, rounds, begin))
+    assert lm_scoring.score_documents(d, queries.piece_model()).count() == 60
+    got, (found, rounds, begin) = Counter(), blobs[0]
+    for blob in found:
+        windows = lm_scoring.training_windows(bytes(blob), begin)
+        for turn in range(rounds):
+            for ids, targets, first, valid in zip(*(x[turn::rounds] for x in windows)):
+                n = int(valid.sum())
+                seen = ids[attention.BLOCK if first else 0 :]
+                got[tuple(seen[: len(seen) - attention.BLOCK + n].tolist()), tuple(targets[:n].tolist())] += 1
+    assert got == want
+
+
 def test_attention_training_lowers_loss():
     m = small_model()
     rng = np.random.default_rng(3)

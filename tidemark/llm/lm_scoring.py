@@ -8,10 +8,10 @@ so words that the corpus repeats keep their frequency, and context and spelling
 The attention model alone is reported beside it.
 
 What is learned covers every training text: word counts, pair counts of ids (class of the next id
-after each id, probabilities within classes) and, for the attention weights, the windows of every
-training text whose hash falls into one of ``stride`` (a fixed share, so it grows with the corpus).
-Weights are trained on the executors in rounds and averaged between rounds; only tables bounded by
-the tokenizer's vocabulary reach the driver.
+after each id, probabilities within classes) and, for the attention weights, every window of every
+training text. Weights are trained in a single pass on the executors: each window is used once, in one
+of the rounds, between which weights are averaged. Trainers read the stored batches where they lie;
+only tables bounded by the tokenizer's vocabulary reach the driver.
 
 Flow: texts are read once and become batches of word numbers with a small dictionary each. A batch
 asks the owners of its words for counts; each different word of a batch travels once, whatever its
@@ -41,9 +41,9 @@ from .piece_codec import SPACE, load_vocabulary
 
 SHARE = 0.4
 CLASSES, KINDS = 128, 256
-BATCH_BYTES, WORDS_PER_TASK, WINDOWS_PER_TRAINER = 5_000_000, 2_000_000, 40_000
+BATCH_BYTES, WORDS_PER_TASK = 5_000_000, 2_000_000
 #: Kinds of work rows; a batch sorts after the answers to its questions.
-ASKED, PAIRS, WINDOWS, BATCH, STATS = "asked", "pairs", "windows", "batch", "stats"
+ASKED, PAIRS, WEIGHTS, BATCH, STATS = "asked", "pairs", "weights", "batch", "stats"
 #: What a stats row counts: different training words, training tokens.
 WORDS, TOKENS = -1, -2
 ROW = "kind string, part int, batch long, n long, blob binary"
@@ -120,8 +120,8 @@ def numbered(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), np.diff(ends)
 
 
-def encode_batches(shared, parts: int, stride: int):
-    """Texts to batches: word numbers and dictionary, questions for counts, pair counts, training windows."""
+def encode_batches(shared, parts: int):
+    """Texts to batches: word numbers and dictionary, questions for counts, pair counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = tokenizer(shared.value)
@@ -175,7 +175,6 @@ def encode_batches(shared, parts: int, stride: int):
         rows.append((BATCH, 0, batch, len(ids), packed(doc_ids, out | (1 - known) << 1, counts, stream, lengths, spelling, per_part)))
         if trained.any():
             rows += pair_rows(stream[trained], counts[out == 0], lengths, spelling, seen, bos, size, batch)
-            rows += window_rows(stream[trained], counts[out == 0], doc_ids[out == 0], lengths, spelling, bos, batch)
         return rows
 
     def pair_rows(stream, counts, lengths, spelling, seen, bos: int, size: int, batch: int) -> list[tuple]:
@@ -198,29 +197,6 @@ def encode_batches(shared, parts: int, stride: int):
         pairs, total = pairs[total > 0], total[total > 0]
         return [(PAIRS, p, batch, 0, packed(pairs[mine], total[mine])) for p in range(PAIR_PARTS) if (mine := pairs // size % PAIR_PARTS == p).any()]
 
-    def window_rows(stream, counts, doc_ids, lengths, spelling, bos: int, batch: int) -> list[tuple]:
-        """The blocks of every text whose hash falls in one of ``stride``, with the block before and the next ids."""
-        each = lengths[stream].astype(np.int64)
-        ends = np.cumsum(each)
-        last = ends[np.cumsum(counts) - 1]
-        sizes = np.diff(last, prepend=0)
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(blocks)), blocks)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        mixed = (doc_ids[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-        chosen = np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(stride) == 0)
-        if not len(chosen):
-            return []
-        owner, nth = owner[chosen], nth[chosen]
-        place = (nth * BLOCK)[:, None] + np.arange(-BLOCK - 1, BLOCK)[None, :]  # places in the text; -1 is the begin id
-        at = np.clip(place, 0, sizes[owner][:, None] - 1) + (last - sizes)[owner][:, None]
-        word = np.searchsorted(ends, at.ravel(), "right")
-        begin = np.cumsum(lengths, dtype=np.int64) - lengths
-        ids = spelling[begin[stream[word]] + at.ravel() - (ends - each)[word]].reshape(at.shape).copy()
-        ids[place < 0] = bos
-        valid = (place[:, BLOCK + 1 :] < sizes[owner][:, None]).astype(np.uint8)
-        return [(WINDOWS, 0, batch, len(chosen), packed(ids[:, :-1].ravel(), ids[:, BLOCK + 1 :].ravel(), (nth == 0).astype(np.uint8), valid.ravel()))]
-
     return run
 
 
@@ -298,42 +274,55 @@ def initial_model(pairs: DataFrame, vocabulary: dict) -> Attention:
     return Attention(classes, np.arange(CLASSES) < CLASSES // 2, np.log(ids / total[classes]).astype(np.float32), logits, Attention.initial(classes, CLASSES))
 
 
-def trained(model: Attention, windows: DataFrame, rounds: int) -> Attention:
-    """Rounds of training on the executors, each trainer on its own windows, averaged by number of windows."""
-    spark = windows.sparkSession
-    total = windows.agg(F.sum("n")).first()[0]
-    if not total:
-        return model
-    trainers = max(1, -(-total // WINDOWS_PER_TRAINER))
+def training_windows(blob: bytes, begin_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of a stored batch's training texts: ids of a block and the block before it, next ids, which begin a text, which ids count."""
+    _, flags, counts, numbers, lengths, spelling, _ = unpacked(blob, *BATCH_TYPES)
+    mine = (flags & 1) == 0
+    numbers, counts = numbers[np.repeat(mine, counts)], counts[mine]
+    if not len(counts):
+        none = np.empty((0, BLOCK), np.int32)
+        return np.empty((0, 2 * BLOCK), np.int32), none, np.empty(0, bool), none.astype(bool)
+    stream, each = spelled(numbers, lengths, spelling)
+    inputs, targets, first, place = laid_out(stream, np.add.reduceat(each, np.cumsum(counts, dtype=np.int64) - counts), begin_id)
+    valid = np.zeros(targets.size, bool)
+    valid[place] = True
+    before = np.concatenate((inputs[:1], inputs[:-1]))
+    before[first] = begin_id  # of another text; not seen
+    return np.concatenate((before, inputs), axis=1), targets, first, valid.reshape(-1, BLOCK)
+
+
+def trained(model: Attention, batches: DataFrame, rounds: int, begin_id: int) -> Attention:
+    """One pass over all windows in rounds on the executors: each trainer on its own batches, averaged by number of windows."""
+    spark = batches.sparkSession
     shapes = {name: model.weights[name].shape for name in attention.TRAINED}
 
     def train_with(shared, turn: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = [unpacked(x, "u2", "u2", "u1", "u1") for b in batches for x in b.column(0).to_pylist()]
-            if not cells:
-                return
-            ids, targets, first, valid = (np.concatenate(c) for c in zip(*cells))
-            ids, targets, valid = ids.reshape(-1, 2 * BLOCK).astype(np.int64), targets.reshape(-1, BLOCK).astype(np.int64), valid.reshape(-1, BLOCK).astype(bool)
-            mine = slice(turn, None, rounds)
-            if not len(ids[mine]):
+            m, n = shared.value, 0
+            w = m.weights
+            for b in batches:
+                for blob in b.column(0):
+                    windows = [x[turn::rounds] for x in training_windows(blob.as_py(), begin_id)]
+                    if len(windows[0]):
+                        w = attention.fit(w, m.bigram, m.classes, windows, seed=turn)
+                        n += len(windows[0])
+            if not n:
                 return
-            m = shared.value
-            w = attention.fit(m.weights, m.bigram, m.classes, (ids[mine], targets[mine], first[mine].astype(bool), valid[mine]), seed=turn)
-            flat = np.concatenate([w[name].ravel() for name in attention.TRAINED]) * np.float32(len(ids[mine]))
+            flat = np.concatenate([w[name].ravel() for name in attention.TRAINED]) * np.float32(n)
             pieces = np.array_split(flat, WEIGHT_PARTS)
-            yield record([(WINDOWS, i, 0, len(ids[mine]), packed(p)) for i, p in enumerate(pieces)])
+            yield record([(WEIGHTS, i, 0, n, packed(p)) for i, p in enumerate(pieces)])
 
         return run
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _parts(batches):
             total = sum(np.frombuffer(r[4], np.float32, offset=16).astype(np.float64) for r in rows) / sum(r[3] for r in rows)
-            yield record([(WINDOWS, rows[0][1], 0, 0, packed(total.astype(np.float32)))])
+            yield record([(WEIGHTS, rows[0][1], 0, 0, packed(total.astype(np.float32)))])
 
-    dealt = windows.repartitionById(trainers, F.pmod("batch", F.lit(trainers)).cast("int")).sortWithinPartitions("batch").select("blob")
+    blobs = batches.select("blob")  # as the files lie: no shuffle
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        found = dealt.mapInArrow(tidy(train_with(shared, turn), ("sentencepiece",)), ROW).repartitionById(WEIGHT_PARTS, "part").sortWithinPartitions("part", "n").mapInArrow(tidy(average, ("sentencepiece",)), ROW).collect()
+        found = blobs.mapInArrow(tidy(train_with(shared, turn), ("sentencepiece",)), ROW).repartitionById(WEIGHT_PARTS, "part").sortWithinPartitions("part", "n").mapInArrow(tidy(average, ("sentencepiece",)), ROW).collect()
         if not found:
             continue
         flat = np.concatenate([np.frombuffer(r.blob, np.float32, offset=16) for r in sorted(found, key=lambda r: r.part)])
@@ -388,7 +377,7 @@ def score_batches(shared, tokens: int, words: int, begin_id: int):
     return run
 
 
-def score_documents(docs: DataFrame, model_path: str, stride: int = 16, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score (of the attention model alone)."""
     spark = docs.sparkSession
     vocabulary = load_vocabulary(model_path)
@@ -399,7 +388,7 @@ def score_documents(docs: DataFrame, model_path: str, stride: int = 16, rounds:
     default = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(default, -(-size // (6 * WORDS_PER_TASK)))
 
-    work = staged(texts.mapInArrow(tidy(encode_batches(shared, parts, stride), ("sentencepiece",)), ROW), "lm-batches", by="kind")
+    work = staged(texts.mapInArrow(tidy(encode_batches(shared, parts), ("sentencepiece",)), ROW), "lm-batches", by="kind")
     of = lambda kind: work.where(F.col("kind") == kind).select("kind", "part", "batch", "n", "blob")
     answers = staged(of(ASKED).repartitionById(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(count_words, ("sentencepiece",)), ROW), "lm-counts", by="kind")
     totals = {r.batch: r.n for r in answers.where(F.col("kind") == STATS).groupBy("batch").agg(F.sum("n").alias("n")).collect()}
@@ -407,7 +396,7 @@ def score_documents(docs: DataFrame, model_path: str, stride: int = 16, rounds:
 
     pairs = of(PAIRS).repartitionById(PAIR_PARTS, "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(sum_pairs(len(vocabulary["pieces"])), ("sentencepiece",)), "before int, next int, n long")
     pairs = staged(pairs, "lm-pairs")
-    model = trained(initial_model(pairs, vocabulary), of(WINDOWS), rounds)
+    model = trained(initial_model(pairs, vocabulary), of(BATCH), rounds, vocabulary["bos"])
 
     both = answers.where(F.col("kind") == ASKED).select("kind", "part", "batch", "n", "blob").unionByName(of(BATCH))
     tasks = max(default, -(-size // BATCH_BYTES))
