@@ -331,6 +331,76 @@ def test_similar_groups_find_edited_copies(spark):
 # SentencePiece
 
 
+def test_similar_groups_like_brute_force(spark):
+    """Pairs around the threshold: groups are the components of an exact similarity of 0.8 or more; nothing below is linked."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for edits in (0, 2, 3, 4, 4, 4, 5, 5, 6, 7, 9, 12) * 12:
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        texts.append(" ".join(w))
+        for at in rng.permutation(39)[:edits]:
+            w[5 * at + 2] = "edited"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in simhash.similar_groups(d).collect()}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    missed = above = 0
+    for k in range(0, len(texts), 2):
+        x, y = shingles(texts[k]), shingles(texts[k + 1])
+        linked, similar = got[k] == got[k + 1], 5 * len(x & y) >= 4 * len(x | y)
+        assert similar or not linked
+        above, missed = above + similar, missed + (similar and not linked)
+    assert above == 72 and missed <= 2
+    assert all(g // 2 == i // 2 for i, g in got.items())
+
+
+def test_similar_groups_merge_what_the_first_pass_leaves_apart(spark, monkeypatch):
+    """Eight near copies that the first pass links in four pairs only are one group after the second."""
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(words[:100] + [f"edit{k}"] + words[100:]) for k in range(8)]
+    found = simhash.candidates
+
+    def in_pairs(nodes, every):
+        if every:
+            return found(nodes, every)
+        ids = sorted(r.id for r in nodes.collect())
+        return spark.createDataFrame([*zip(ids[::2], ids[1::2])], "a long, b long")
+
+    monkeypatch.setattr(simhash, "candidates", in_pairs)
+    got = simhash.similar_groups(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(got) == 8 and {r.group_id for r in got} == {0}
+
+
+def test_near_pairs_name_every_row_and_every_pair_of_labels():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, (6, 4)).astype(np.uint64)
+    fps = np.concatenate([base ^ np.uint64(k) for k in range(12)])
+    d = np.array([[sum(int(x ^ y).bit_count() for x, y in zip(p, q)) for q in fps] for p in fps])
+    near = {(i, j) for i in range(72) for j in range(i + 1, 72) if d[i, j] <= 8}
+    labels = np.arange(72) // 6 % 3
+    every = {*zip(*(x.tolist() for x in simhash._near_pairs(fps, labels, 8, True)))}
+    assert every == {(i, j) for i, j in near if labels[i] != labels[j]}
+    some = {*zip(*(x.tolist() for x in simhash._near_pairs(fps, np.arange(72), 8, False)))}
+    assert some <= near and {i for p in some for i in p} == {i for p in near for i in p} and len(some) < 2 * 72
+    keys = np.zeros(72, np.int64)
+    for same in (False, True):
+        batch = pa_batch(keys, np.arange(72), labels if same else np.arange(72), fps)
+        out = [b for b in simhash.key_pairs(4, 8, same)(iter([batch]))]
+        got = {(a, b) for o in out for a, b in zip(o.column(0).to_pylist(), o.column(1).to_pylist())}
+        assert got == every if same else got <= near
+
+
+def pa_batch(keys, ids, labels, fps):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids, labels, *(np.ascontiguousarray(fps[:, i]).view(np.int64) for i in range(fps.shape[1])))], ["key", "id", "label", *"wxyz"])
+
+
+
 def test_codec_equals_library(table):
     import random
 

@@ -258,29 +258,203 @@ def hex_fingerprint(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-#: Similar documents: shingles of five words, 256 bits, keys from two of eight blocks of three of the four words.
-#: At a Jaccard similarity of 0.8 two fingerprints differ in 15 % of their bits, 39 of 256 with a deviation of 6,
-#: and share a key with a chance of 97 %; at 0.9 in 26 bits, and share a key always but for one in 10,000.
-SIMILAR_WORDS, SIMILAR_KEYED, SIMILAR_BLOCKS, SIMILAR_LIMIT = 4, 3, 8, 42
+#: Similar documents: candidates agree in two of eight blocks of any of the four words, and differ in at most 64 of 256 bits.
+#: At a Jaccard similarity of 0.8 two fingerprints of sets differ in 15 % of their bits, 39 of 256 with a deviation of 6,
+#: and share a key with a chance of 99 %; at 0.9 in 26 bits. Every candidate is then verified by its shingles.
+SIMILAR_WORDS, SIMILAR_BLOCKS, SIMILAR_LIMIT = 4, 8, 64
+#: The least Jaccard similarity of linked documents, as a fraction.
+SIMILAR_SHARE = (4, 5)
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The different XXH64 hashes of a text's shingles, in order. A text of fewer words is one shingle; one without words has none."""
+    import xxhash
+
+    body = b" ".join(text.encode().lower().split())
+    if not body:
+        return np.empty(0, "<u8")
+    gaps = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
+    if len(gaps) < width:
+        return np.array([xxhash.xxh64_intdigest(body, 42)], "<u8")
+    starts, ends, out = np.concatenate(([0], gaps + 1))[: len(gaps) + 2 - width], np.concatenate((gaps, [len(body)]))[width - 1 :], []
+    for at in range(0, len(starts), CHUNK):
+        pairs = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist())
+        out.append(np.array([xxhash.xxh64_intdigest(body[a:b], 42) for a, b in pairs], "<u8"))
+    return np.unique(np.concatenate(out))
+
+
+def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of ``words`` times 64 bits of a set of shingles: each counts once, as in the Jaccard similarity."""
+    out = np.zeros(words, np.uint64)
+    ones = np.zeros((words, 64), np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK]
+        for word in range(words):
+            ones[word] += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            part = (part ^ (part >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+            part ^= part >> np.uint64(32)
+    for word in range(words):
+        out[word] = np.packbits(2 * ones[word] > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def shingled(docs: DataFrame, width: int, words: int) -> DataFrame:
+    """Of (doc_id, text): doc_id, node (a hash of the shingle set) and the set's fingerprint, or with no ``words`` the node and the set."""
+    names = word_names(words) if words else []
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # so that sets of few texts are held at once
+                some = batch.slice(at, 256)
+                sets = [shingle_set(t.as_py(), width) for t in some.column(1)]
+                node = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
+                if words:
+                    fps = np.stack([set_fingerprint(x, words) for x in sets]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([some.column(0), node, *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(words))], ["doc_id", "node", *names])
+                else:
+                    yield pa.RecordBatch.from_arrays([node, pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    shape = ", ".join(["doc_id long", "node long", *(f"{n} long" for n in names)]) if words else "node long, shingles binary"
+    return docs.mapInArrow(tidy(run), shape)
+
+
+def _near_pairs(fps: np.ndarray, labels: np.ndarray, limit: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of near pairs in one key's rows. With ``every`` all pairs of different labels, else for each
+    row its first near row, so that every row that has one is named."""
+    a, b, named = [], [], np.zeros(len(fps), bool)
+    if not every and len(fps) > MATRIX:
+        return forest(fps, limit)
+    for x in range(len(fps) - 1):
+        other = np.arange(x + 1, len(fps))
+        other = other[labels[other] != labels[x]] if every else other[~named[other]] if named[x] else other
+        near = other[survivors(fps[x], fps[other], limit)] if len(other) else other
+        if not every and len(near):
+            fresh = near[~named[near]]
+            near = fresh if len(fresh) else near[:1]
+            named[near] = named[x] = True
+        a.append(np.full(len(near), x))
+        b.append(near)
+    none = np.empty(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
+def key_pairs(words: int, limit: int, every: bool):
+    """Candidate pairs (a, b), a < b, within runs of equal keys; batches (key, id, label, words...) come sorted by key and id."""
+
+    def pairs(keys: np.ndarray, ids: np.ndarray, labels: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        sizes = np.diff(np.concatenate((edge, [len(keys)])))
+        size_at = np.repeat(sizes, sizes)
+        small = np.flatnonzero((size_at > 1) & (size_at <= SMALL))
+        k, a, b = keys[small], [], []
+        for gap in range(1, SMALL):
+            if gap >= len(k) or not (same := k[gap:] == k[:-gap]).any():
+                break
+            at = np.flatnonzero(same)
+            at = at[labels[small[at]] != labels[small[at + gap]]]
+            at = at[survivors(fps[small[at]], fps[small[at + gap]], limit)]
+            a.append(small[at])
+            b.append(small[at + gap])
+        if a and not every:  # for each row its first near row
+            x, y = np.concatenate(a), np.concatenate(b)
+            first = np.full(len(keys), len(keys))
+            np.minimum.at(first, y, x)
+            np.minimum.at(first, x, y)
+            x = np.flatnonzero(first < len(keys))
+            a, b = [first[x]], [x]
+        for start, size in zip(edge[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            x, y = _near_pairs(fps[start : start + size], labels[start : start + size], limit, every)
+            a.append(x + start)
+            b.append(y + start)
+        if not a or not sum(map(len, a)):
+            return None
+        x, y = ids[np.concatenate(a)], ids[np.concatenate(b)]
+        found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, labels, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)
+        for batch in batches:
+            column = lambda i, b=batch: b.column(i).to_numpy(zero_copy_only=False)
+            keys, ids, labels = np.concatenate((keys, column(0))), np.concatenate((ids, column(1))), np.concatenate((labels, column(2)))
+            fps = np.concatenate((fps, np.stack([column(3 + i).view(np.uint64) for i in range(words)], axis=1)))
+            if len(keys) < CHUNK:
+                continue
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
+            if cut:
+                if (out := pairs(keys[:cut], ids[:cut], labels[:cut], fps[:cut])) is not None:
+                    yield out
+                keys, ids, labels, fps = keys[cut:], ids[cut:], labels[cut:], fps[cut:]
+        if len(keys) and (out := pairs(keys, ids, labels, fps)) is not None:
+            yield out
+
+    return run
+
+
+def candidates(nodes: DataFrame, every: bool) -> DataFrame:
+    """Different pairs (a, b) of near fingerprints among (id, label, words...)."""
+    names = word_names(SIMILAR_WORDS)
+    keyed = reduce(DataFrame.unionByName, [with_pivot_keys(nodes, n, 0, blocks=SIMILAR_BLOCKS).select("key", "id", "label", *names) for n in names])
+    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidy(key_pairs(SIMILAR_WORDS, SIMILAR_LIMIT, every)), "a long, b long").distinct()
+
+
+def similar_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b, shingles of a, shingles of b) those of enough Jaccard similarity."""
+    part, whole = SIMILAR_SHARE
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+            if whole * min(len(x), len(y)) < part * max(len(x), len(y)):
+                keep.append(False)
+                continue
+            both = np.concatenate((x, y))
+            both.sort(kind="stable")
+            common = int(np.count_nonzero(both[1:] == both[:-1]))
+            keep.append(whole * common >= part * (len(both) - common))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose shingle sets are similar. The smaller node may be in very many pairs."""
+    degrees = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree"))
+    one = degrees.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
+    both = join_hot(pairs, one, "a", "degree", pairs.count()).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
+    return both.select("a", "b", "one", "other").mapInArrow(tidy(similar_sets), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, group_id: documents grouped by an estimated Jaccard similarity of 0.8 or more of their word shingles.
+    """doc_id, group_id: documents connected by a Jaccard similarity of 0.8 or more of their word shingles.
 
-    The wide form of ``near_duplicates``: pairs meet under keys of equal pivot distances, and survive by
-    their distance over all bits. Documents of equal fingerprint are one node; texts without words are
-    grouped with each other.
+    The wide form of ``near_duplicates``: pairs that meet under keys of equal pivot distances and are near
+    over all bits are candidates, and linked if their shingle sets are similar. Documents of equal sets are
+    one node; texts without words are grouped with each other. First each node is compared with its first
+    near one of every key; then all candidates that this has not connected. So a large group takes few pairs.
     """
     names = word_names(SIMILAR_WORDS)
-    rows = staged(fingerprints(docs, width, SIMILAR_WORDS, id_col, text_col), "wide-fingerprints")
-    node = F.xxhash64(*names).alias("node")
-    rows = rows.select("doc_id", node, *names)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = staged(shingled(texts, width, SIMILAR_WORDS), "wide-fingerprints")
     different = staged(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "wide-different")
-    nodes = different.select(F.col("node").alias("id"), *names)
-    keyed = reduce(DataFrame.unionByName, [with_pivot_keys(nodes, n, 0, blocks=SIMILAR_BLOCKS).select("key", "id", *names) for n in names[:SIMILAR_KEYED]])
-    links = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "id")).mapInArrow(tidy(key_links(SIMILAR_WORDS, SIMILAR_LIMIT)), "a long, b long")
-    member = staged(components(links), "wide-members").withColumnRenamed("node", "m")
-    joined = different.select("node", "first", "copies").join(member, F.col("node") == F.col("m"), "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
+    pairs = staged(candidates(different.select(F.col("node").alias("id"), F.col("node").alias("label"), *names), False), "wide-pairs")
+    near = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(different, "node"), "wide-near")
+    wanted = near.select(F.col("first").alias("doc_id")).distinct()
+    some = texts.join(wanted, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))  # a set may have rows without ids only
+    sets = staged(shingled(some, width, 0).join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]), "wide-sets")
+    links = staged(verified(pairs, sets), "wide-links")
+    labels = staged(components(links), "wide-labels").select(F.col("node").alias("m"), "root")
+    labelled = near.join(labels, F.col("node") == F.col("m"), "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("label"), *names)
+    more = staged(candidates(labelled, True).join(pairs, ["a", "b"], "left_anti"), "wide-more")
+    more = staged(verified(more, sets), "wide-more-links")
+    joined = different.select("node", "first", "copies").join(labels, F.col("node") == F.col("m"), "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
+    if not more.isEmpty():  # links between the groups so far
+        of = labels.select(F.col("m").alias("of"), "root")
+        for side in ("a", "b"):
+            more = more.join(of, F.col(side) == F.col("of"), "left").withColumn(side, F.coalesce("root", side)).drop("of", "root")
+        merged = components(more).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        joined = joined.join(merged, F.col("root") == F.col("old"), "left").select("node", "first", "copies", F.coalesce("new", "root").alias("root"))
     joined = staged(joined, "wide-joined")
     roots = joined.groupBy("root").agg(F.min("first").alias("group_id"), F.count(F.lit(1)).alias("members"))
     labelled = join_hot(joined.select("root", "node", "copies"), roots, "root", "members", joined.count())
