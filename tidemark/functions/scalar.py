@@ -62,7 +62,7 @@ def not_static(url: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """Names for SQL: hash_code(text, factor), split_words(text, separator) (a table function), avg_temp, top_two."""
+    """Names for SQL: hash_code(text, factor), split_words(text, separator) (a table function), avg_temp."""
     from pyspark.sql.functions import pandas_udf, udtf
 
     @pandas_udf("int")
