@@ -38,17 +38,32 @@ def test_substring(spark):
     assert (got[4].text, got[5].text, got[6].n_removed) == ("", "", 0)
 
 
-def test_substring_paragraphs_and_shuffle(spark, monkeypatch):
+def test_substring_paragraphs_and_batches(spark, monkeypatch):
     d = docs(spark, (1, f"{LONG}\nmore\n\nx"), (2, f"y\n \n{LONG} more"), (None, f"{LONG}\nmore"))
-    monkeypatch.setattr(substring_dedup, "BROADCAST_UNITS", -1)
-    got = {r.doc_id: r.text for r in substring_dedup.without_repeats(d, unit="paragraph").collect()}
-    assert got == {1: f"{LONG}\nmore\n\nx", 2: "y\n \n", None: ""}
+    for at_once in (1, 200_000):
+        monkeypatch.setattr(substring_dedup, "AT_ONCE", at_once)
+        got = {r.doc_id: r.text for r in substring_dedup.without_repeats(d, unit="paragraph").collect()}
+        assert got == {1: f"{LONG}\nmore\n\nx", 2: "y\n \n", None: ""}
     assert substring_dedup.without_repeats(d.limit(0)).count() == 0
 
 
+def test_substring_passage_inside_lines(spark):
+    passage = "One two three four five six. Seven eight nine ten eleven twelve thirteen! " + " ".join(f"w{k}" for k in range(20)) + "."
+    d = docs(spark, (1, f"start here {passage} Then more.\nx"), (2, f"Other words. {passage} No end"), (3, "Then more. One two three four five six. Nothing."), (4, "a. " * 90))
+    got = {r.doc_id: r for r in substring_dedup.without_repeats(d).collect()}
+    assert got[2].text == "Other words. One two three four five six. No end" and got[2].n_removed == 2  # the first sentence differs in doc 1
+    assert got[1].n_removed == got[3].n_removed == got[4].n_removed == 0  # short runs and one-word units don't count
+
+
+def test_substring_very_long_text(spark):
+    long = "\n".join(f"line {k} of a very long text with enough words" for k in range(60_000))
+    got = {r.doc_id: r for r in substring_dedup.without_repeats(docs(spark, (1, long), (2, "z\n" + long), (3, "w" * 3_000_000))).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 60_000 and got[2].text == "z\n" and len(got[3].text) == 3_000_000
+
+
 def test_substring_repeated_rows(spark):
-    got = substring_dedup.without_repeats(docs(spark, (1, LONG), (1, LONG), (2, LONG))).collect()
-    assert sorted((r.doc_id, r.text) for r in got) == [(1, LONG), (1, LONG), (2, "")]
+    got = substring_dedup.without_repeats(docs(spark, (1, LONG), (1, LONG), (2, LONG), (2, LONG + " x"), (3, LONG), (3, LONG), (3, "y"))).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, LONG), (1, LONG), (2, ""), (2, LONG + " x"), (3, ""), (3, ""), (3, "y")]
 
 
 # quality classifier

@@ -107,23 +107,30 @@ FROM o
 
 
 OP1_SQL = r"""
-WITH l AS (
-  SELECT doc_id, i, line, i = n AS last,
-         CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
-), u AS (
-  SELECT *, start + length(line) + CASE WHEN last THEN 0 ELSE 1 END AS stop,
-         trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS unit FROM l
+WITH s AS (
+  SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?][.!?"'')\]]*[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*)', '\1' || chr(57344), 'g'), chr(57344)) AS us
+  FROM documents
+), l AS (
+  SELECT doc_id, i, unit, CAST(coalesce(sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+         trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
+  FROM (SELECT doc_id, unnest(us) AS unit, unnest(range(1, len(us) + 1)) AS i FROM s)
 ), r AS (
-  SELECT *, len(string_split(unit, ' ')) >= 20 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) > 1 AS gone FROM u
+  SELECT *, start + length(unit) AS stop, CASE WHEN norm = '' THEN 0 ELSE len(string_split(norm, ' ')) END AS words,
+         norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS again FROM l
+), n AS (
+  SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
+), g AS (
+  SELECT *, again AND sum(CASE WHEN again AND words >= 2 THEN words ELSE 0 END) OVER (PARTITION BY doc_id, run) >= 25 AS gone FROM n
+), c AS (
+  SELECT doc_id, run, min(start) || '-' || max(stop) AS span, min(start) AS pos FROM g WHERE gone GROUP BY doc_id, run
+), p AS (
+  SELECT doc_id, string_agg(span, ',' ORDER BY pos) AS spans FROM c GROUP BY doc_id
+), d AS (
+  SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN unit END, '' ORDER BY i), '') AS text,
+         CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(coalesce(sum(stop - start) FILTER (gone), 0) AS BIGINT) AS removed_chars
+  FROM g GROUP BY doc_id
 )
-SELECT doc_id,
-       coalesce(string_agg(CASE WHEN NOT gone THEN line || CASE WHEN last THEN '' ELSE chr(10) END END, '' ORDER BY i), '') AS text,
-       CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
-       CAST(coalesce(sum(stop - start) FILTER (gone), 0) AS BIGINT) AS removed_chars,
-       coalesce(string_agg(start || '-' || stop, ',' ORDER BY i) FILTER (gone), '') AS spans
-FROM r GROUP BY doc_id
+SELECT d.*, coalesce(p.spans, '') AS spans FROM d LEFT JOIN p ON d.doc_id = p.doc_id
 """
 
 OP10_SQL = r"""
