@@ -1,13 +1,17 @@
 """SimHash near-deduplication with pivot distance tables.
 
-Fingerprints are reduced to different ones first. The 64 bits are cut into six blocks, and every block
-has eight reference fingerprints (pivots). A table holds the Hamming distances of each fingerprint to
-all pivots, block by block. Two fingerprints that differ in at most four bits agree in at least two of
-six blocks, where all their pivot distances are equal: so they meet under one of the fifteen keys made
-of the distances in two blocks. Within a key, pairs of which a distance to any pivot, summed over the
-blocks, differs by more than the limit are discarded, and the survivors are verified bit by bit. A
-key's rows give a spanning forest of their links, not all pairs. Keys with many rows are first split
-by a second table with other pivots over shuffled bits, without losing any pair.
+Fingerprints are reduced to different ones first. A stored table holds, for each of them, its Hamming
+distances to sixteen reference fingerprints (pivots). Two fingerprints within the limit differ by at most
+the limit in each coordinate of the table, so a pair with a larger difference in any is discarded unseen,
+and only the survivors are verified bit by bit.
+
+Which pairs are looked at is told by pivots too: the 64 bits are cut into six blocks with eight pivots
+each, and fingerprints that differ in at most four bits agree in at least two of six blocks, where all
+their pivot distances are equal. So they meet under one of the fifteen keys made of the distances in two
+blocks, in the order of the first coordinate, and each is held only against those within the limit there.
+A key's rows give a spanning forest of their links, not all pairs. Keys with many rows are split by
+further tables, with other pivots over shuffled bits, without losing any pair, until none has many or
+the rows under a key are near each other in all of them.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows
 are rows of their own with equal results; null ids never become a component's id unless all are null;
@@ -25,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_batches, staged, text_or_empty, tidy
+from .common import ambiguous_ids, bounded_batches, numbered_rows, staged, text_or_empty, tidy, without_ids
 from .components import components, join_hot
 
 BLOCKS, REFERENCES, LIMIT = 6, 8, 4
-#: Keys with more rows are split by the second table.
-HOT_ROWS = 10_000
+#: Keys with more rows are split by a further table, up to so many times.
+HOT_ROWS, SPLITS = 10_000, 3
 #: Up to this size a key's links are found by comparing neighbours at every distance, all keys at once.
 SMALL = 32
 #: Up to this size all pairs of a key are compared in one matrix.
@@ -115,17 +119,35 @@ def with_pivot_keys(rows: DataFrame, fp: str, seed: int, *more: str, blocks: int
     return wide.select(F.explode(F.array(*keys)).alias("new_key"), *rows.columns).drop("key").withColumnRenamed("new_key", "key")
 
 
-#: Whole reference fingerprints: the distances to them bound the distance of a pair from below.
-_WHOLE = [np.bitwise_or.reduce(np.array([refs[j] for _, refs in pivots(0)], np.uint64)) for j in range(2)]
+#: Whole reference fingerprints, whose distances are the coordinates of the pivot table.
+WHOLE = [random.Random(1000 + j).getrandbits(64) for j in range(16)]
 
 
-def survivors(one: np.ndarray, other: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Which pairs of rows (n, words) differ in at most ``limit`` bits: first by pivot distances, then bit by bit."""
+def pivot_table(different: DataFrame) -> DataFrame:
+    """fp, low, high: the distances of each fingerprint to all of ``WHOLE``, a byte each, in two longs."""
+    halves = []
+    for part in (WHOLE[:8], WHOLE[8:]):
+        cell = F.lit(0).cast("long")
+        for j, reference in enumerate(part):
+            cell = cell.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(reference)))).cast("long"), 8 * j))
+        halves.append(cell)
+    return different.select("fp", halves[0].alias("low"), halves[1].alias("high"))
+
+
+def coordinates(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Rows of the pivot table as (n, 16) distances."""
+    return np.stack((low, high), axis=1).astype("<i8").view(np.int8).reshape(-1, 16)
+
+
+def survivors(one: np.ndarray, other: np.ndarray, limit: int = LIMIT, table_one: np.ndarray | None = None, table_other: np.ndarray | None = None) -> np.ndarray:
+    """Which pairs of rows (n, words) differ in at most ``limit`` bits: first by the largest difference of their
+    rows of the pivot table, if given, then bit by bit."""
     at = np.arange(len(other))
     one = np.broadcast_to(one, other.shape)
-    for reference in _WHOLE if limit < 8 else ():
-        coordinate = np.bitwise_count(one[at, 0] ^ reference).astype(np.int8) - np.bitwise_count(other[at, 0] ^ reference).astype(np.int8)
-        at = at[np.abs(coordinate) <= limit]
+    if table_other is not None:
+        table_one = np.broadcast_to(table_one, table_other.shape)
+        for j in range(table_other.shape[1]):
+            at = at[np.abs(table_one[at, j] - table_other[at, j]) <= limit]
     keep = np.zeros(len(other), bool)
     distance = np.zeros(len(at), np.int32)
     for word in range(other.shape[1]):  # word by word, with those that are still near
@@ -136,7 +158,7 @@ def survivors(one: np.ndarray, other: np.ndarray, limit: int = LIMIT) -> np.ndar
     return keep
 
 
-def forest(fps: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, limit: int = LIMIT, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges (places a, b) of a spanning forest of the links among fingerprints (n, words): grows each
     component by comparing a member with all that no component has yet."""
     left, a, b = np.arange(len(fps)), [], []
@@ -144,7 +166,7 @@ def forest(fps: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
-            near = survivors(fps[x], fps[left], limit)
+            near = survivors(fps[x], fps[left], limit, *(() if table is None else (table[x], table[left])))
             if near.any():
                 found = left[near]
                 a.append(np.full(len(found), x))
@@ -155,16 +177,16 @@ def forest(fps: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _run_links(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links in one key's rows: all pairs at once if there are few links, else a forest."""
-    if len(fps) <= MATRIX:
-        i, j = np.triu_indices(len(fps), 1)
-        first = np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0])[i, j] <= limit
-        i, j = i[first], j[first]
-        if len(i) <= 8 * len(fps):
-            near = survivors(fps[i], fps[j], limit)
-            return i[near], j[near]
-    return forest(fps, limit)
+def _run_links(fps: np.ndarray, limit: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links in one key's rows, in order of the first coordinate: all pairs that this leaves at once if the rows are few, else a forest."""
+    if len(fps) > MATRIX:
+        return forest(fps, limit, table)
+    first, n = table[:, 0], np.arange(len(fps))
+    many = np.searchsorted(first, first + limit, "right") - n - 1
+    i = np.repeat(n, many)
+    j = i + 1 + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    near = survivors(fps[i], fps[j], limit, table[i], table[j])
+    return i[near], j[near]
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,25 +208,27 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names[node], names[label[node]]
 
 
-def key_links(words: int, limit: int):
-    """Links within runs of equal keys; batches (key, id, words...) come sorted by key."""
+def key_links(limit: int):
+    """Links within runs of equal keys; batches (key, fp, low, high) come sorted by key and first coordinate."""
 
-    def links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+    def links(keys: np.ndarray, ids: np.ndarray, table: np.ndarray) -> pa.RecordBatch | None:
+        fps = ids.view(np.uint64)[:, None]
         edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.concatenate((edge, [len(keys)])))
         a, b = [], []
         size_at = np.repeat(sizes, sizes)
         small = np.flatnonzero((size_at > 1) & (size_at <= SMALL))
-        k = keys[small]
+        k, first = keys[small], table[small, 0]
         for gap in range(1, SMALL):
-            if gap >= len(k) or not (same := k[gap:] == k[:-gap]).any():
+            if gap >= len(k) or not (same := (k[gap:] == k[:-gap]) & (first[gap:] - first[:-gap] <= limit)).any():
                 break
             at = np.flatnonzero(same)
-            at = at[survivors(fps[small[at]], fps[small[at + gap]], limit)]
-            a.append(small[at])
-            b.append(small[at + gap])
+            x, y = small[at], small[at + gap]
+            near = survivors(fps[x], fps[y], limit, table[x], table[y])
+            a.append(x[near])
+            b.append(y[near])
         for start, size in zip(edge[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            x, y = _run_links(fps[start : start + size], limit)
+            x, y = _run_links(fps[start : start + size], limit, table[start : start + size])
             a.append(x + start)
             b.append(y + start)
         if not a or not sum(map(len, a)):
@@ -213,19 +237,19 @@ def key_links(words: int, limit: int):
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)
+        keys, ids, table = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 16), np.int8)
         for batch in batches:
             column = lambda i, b=batch: b.column(i).to_numpy(zero_copy_only=False)
             keys, ids = np.concatenate((keys, column(0))), np.concatenate((ids, column(1)))
-            fps = np.concatenate((fps, np.stack([column(2 + i).view(np.uint64) for i in range(words)], axis=1)))
+            table = np.concatenate((table, coordinates(column(2), column(3))))
             if len(keys) < CHUNK:
                 continue
             cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
             if cut:
-                if (out := links(keys[:cut], ids[:cut], fps[:cut])) is not None:
+                if (out := links(keys[:cut], ids[:cut], table[:cut])) is not None:
                     yield out
-                keys, ids, fps = keys[cut:], ids[cut:], fps[cut:]
-        if len(keys) and (out := links(keys, ids, fps)) is not None:
+                keys, ids, table = keys[cut:], ids[cut:], table[cut:]
+        if len(keys) and (out := links(keys, ids, table)) is not None:
             yield out
 
     return run
@@ -233,13 +257,17 @@ def key_links(words: int, limit: int):
 
 def fingerprint_links(different: DataFrame) -> DataFrame:
     """Links (a, b) that connect all fingerprints of column ``fp`` (different ones) within LIMIT bits."""
-    keyed = staged(with_pivot_keys(different.select("fp"), "fp", 0).select("key", "fp"), "pivot-keys")
-    crowded = staged(keyed.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"), "crowded-keys")
-    if not crowded.isEmpty():  # at most 15 * rows / HOT_ROWS keys; joined by shuffle unless Spark finds them small
-        split = with_pivot_keys(keyed.join(crowded, "key"), "fp", 1, "key").select("key", "fp")
-        keyed = keyed.join(crowded, "key", "left_anti").unionByName(split)
-    shuffled = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return shuffled.select("key", F.col("fp").alias("id"), "fp").mapInArrow(tidy(key_links(1, LIMIT)), "a long, b long")
+    columns = ("key", "fp", "low", "high")
+    table = staged(pivot_table(different), "pivot-table")
+    keyed = staged(with_pivot_keys(table, "fp", 0).select(*columns), "pivot-keys")
+    for seed in range(1, 1 + SPLITS):
+        crowded = staged(keyed.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"), "crowded-keys")
+        if crowded.isEmpty():
+            break
+        split = with_pivot_keys(keyed.join(crowded, "key"), "fp", seed, "key").select(*columns)  # at most 15 * rows / HOT_ROWS keys
+        keyed = staged(keyed.join(crowded, "key", "left_anti").unionByName(split), "pivot-keys")
+    ordered = keyed.repartition("key").sortWithinPartitions("key", F.col("low").bitwiseAND(F.lit(255)), "fp")
+    return ordered.select(*columns).mapInArrow(tidy(key_links(LIMIT)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -459,3 +487,13 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     roots = joined.groupBy("root").agg(F.min("first").alias("group_id"), F.count(F.lit(1)).alias("members"))
     labelled = join_hot(joined.select("root", "node", "copies"), roots, "root", "members", joined.count())
     return join_hot(rows.select("doc_id", "node"), labelled.select("node", "copies", "group_id"), "node", "copies", rows.count()).select("doc_id", "group_id")
+
+
+def without_similar(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` without all but the smallest id of each group of similar documents. If ids repeat or are null,
+    rows are numbered as they are stored, and the first one of a group stays."""
+    columns, number = docs.columns, id_col
+    if ambiguous_ids(docs, id_col):
+        docs, number = numbered_rows(docs)
+    groups = similar_groups(docs, width, number, text_col)
+    return without_ids(docs, groups.where("doc_id <> group_id").select(F.col("doc_id").alias("gone")), number).select(*[f"`{c}`" for c in columns])
