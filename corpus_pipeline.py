@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import exact_dedup, mixing, piece_codec, quality_classifier, simhash
-from tidemark.llm.common import staged, without_ids
+from tidemark.llm.common import staged
 from tidemark.llm.queries import piece_model
 
 ORACLE_SQL = None
@@ -30,8 +30,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar SimHash fingerprints (five-word shingles, similarity 0.8) the one with the smallest id."""
-    groups = simhash.similar_groups(docs)
-    return without_ids(docs, groups.where("doc_id <> group_id").select(F.col("doc_id").alias("gone")).distinct(), "doc_id")
+    return simhash.without_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,31 @@ def test_deduplicated_rows(spark):
     out = exact_dedup.deduplicated(d)
     assert out.columns == d.columns
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "y"), (0, "z"), (1, "x")]
+    five = docs(spark, (0, "x", "s"), (1, "x", "s"), (1, "only here", "s"), (2, "a  b", "s"), (2, "a b", "s"))
+    short = lambda t: F.pmod(F.xxhash64(t), F.lit(2)).cast("string").cast("binary")
+    for options in ({}, {"digest": short}):
+        assert sorted((r.doc_id, " ".join(r.text.split())) for r in exact_dedup.deduplicated(five, **options).collect()) == [(0, "x"), (1, "only here"), (2, "a b")]
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_state_outlives_the_call(spark, tmp_path, short):
+    options = {"digest": lambda t: F.pmod(F.xxhash64(t), F.lit(2)).cast("string").cast("binary")} if short else {}
+    for name, some in (("one", [(5, "a b", "s"), (6, "c", "s"), (8, "d", "s")]), ("two", [(7, "a  b", "s"), (3, "c", "s"), (9, "e", "s"), (10, "e", "s")])):
+        docs(spark, *some).write.parquet(str(tmp_path / name))
+    run = lambda name: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(spark.read.parquet(str(tmp_path / name)), state_path=str(tmp_path / "state"), **options).collect()}
+    assert run("one") == {5: (5, 1, True), 6: (6, 1, True), 8: (8, 1, True)}
+    assert run("two") == {7: (5, 2, False), 3: (3, 2, True), 9: (9, 2, True), 10: (9, 2, False)}
+
+
+def test_rules_and_mix_of_repeated_ids(spark):
+    line = "the same line with many words in it for all of us"
+    other = " ".join(f"v{k}" for k in range(40))
+    rows = [(i, line, "h") for i in range(7)] + [(9, line + "\n" + other, "h"), (9, other, "h"), (9, other, "h")]
+    got = sorted((r.doc_id, r.n_words, r.removed_words, r.kept) for r in quality_rules.apply_rules(docs(spark, *rows), max_docs=5).collect() if r.doc_id == 9)
+    assert got == [(9, 40, 0, True), (9, 40, 0, True), (9, 52, 12, True)]
+    assert [(r.doc_id, r.text) for r in quality_rules.cleaned(docs(spark, *rows), max_docs=5).collect()] == [(9, other)] * 2
+    mixed = mixing.mixed_documents(docs(spark, (1, "a b", "s"), (1, "c d", "s"), (None, "e f", "s")).withColumn("__n", F.lit("n")), share=1.0)
+    assert sorted((r.doc_id or 0, r.text, r["__n"]) for r in mixed.collect()) == [(0, "e f", "n"), (1, "a b", "n"), (1, "c d", "n")]
 
 
 def test_exact_empty(spark):
@@ -102,7 +127,7 @@ def test_frequent_lines_by_shuffle(spark, monkeypatch):
 
 def test_rules_edges(spark):
     got = {r.doc_id: tuple(r) for r in quality_rules.apply_rules(docs(spark, (1, None, None), (2, "#a $b", "s"), (3, "x\nx\n \nx", "s")).withColumn("kept", F.lit(1))).collect()}
-    assert got[1][1:6] == (0, 0, 0, 0, 0) and got[1][-2:] == (True, False)
+    assert got[1][1:6] == (0, 0, 0, 0, 0) and got[1][-3:-1] == (True, False)
     assert got[2][1:4] == (2, 4, 2) and got[3][4] == 2
     assert quality_rules.apply_rules(docs(spark, (1, "x", "s")).limit(0)).count() == 0
 

@@ -294,9 +294,13 @@ def test_forest_of_a_large_key():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 3).astype(np.uint64)
     fps = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 50).astype(np.uint64)) for b in base]))[:, None]
+    table = np.array([[int(x[0] ^ np.uint64(w)).bit_count() for w in simhash.WHOLE] for x in fps], np.int8)
+    order = np.argsort(table[:, 0], kind="stable")
+    fps, table = fps[order], table[order]
     a, b = simhash.forest(fps)
     assert len(a) == len(fps) - 3 and simhash.survivors(fps[a], fps[b]).all()
-    x, y = simhash._run_links(fps, simhash.LIMIT)
+    assert all(np.array_equal(x, y) for x, y in zip(simhash.forest(fps, simhash.LIMIT, table), (a, b)))  # the table discards no link
+    x, y = simhash._run_links(fps, simhash.LIMIT, table)
     assert simhash.survivors(fps[x], fps[y]).all() and len(x) >= len(fps) - 3
 
 

@@ -36,8 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Work tables of this process.
+_MADE: list[str] = []
+
+
 def table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark-work/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/tidemark-work/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def staged(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
@@ -49,13 +62,22 @@ def staged(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unstage(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete work tables that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/tidemark-work/" in f}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(spark, folder)
+
+
+def discard_work(spark: SparkSession) -> None:
+    """Delete all work tables that this process made and that are left. Call it when the results have been written."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
@@ -129,3 +151,14 @@ def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     gone = staged(gone, "gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["gone"], "left_anti")
+
+
+def ambiguous_ids(docs: DataFrame, id_col: str) -> bool:
+    """Whether an id is null or stands in several rows."""
+    return not docs.groupBy(F.col(id_col).alias("id")).count().where("count > 1 or id is null").isEmpty()
+
+
+def numbered_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The table, written with a number for each row, and the name of that column."""
+    name = fresh(docs, "row_number_")
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import staged, text_or_empty, word_count
+from .common import ambiguous_ids, numbered_rows, staged, text_or_empty, word_count
 
 #: Ranges of a source are gathered into so many spans, so that prefix sums over ranges are spread too.
 SPANS = 1024
@@ -100,10 +100,12 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: rows of ``docs``, each repeated once for every epoch it is taken in, whole."""
-    plan = mix(docs, seed=seed, boundary="whole", id_col=id_col, **options).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.expr("taken div size").cast("int").alias("__times")).dropDuplicates(["__id", "__source", "__size"])
-    sized = docs.withColumn("__n", word_count(text_or_empty(options.get("text_col", "text"))))
-    same = sized[id_col].eqNullSafe(plan["__id"]) & sized[options.get("source_col", "source")].eqNullSafe(plan["__source"]) & (sized["__n"] == plan["__size"])
-    taken = sized.join(plan, same).withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return taken.select([taken[f"`{c}`"] for c in docs.columns])
+    """The mix itself: rows of ``docs``, each repeated once for every epoch it is taken in, whole. If ids repeat or are
+    null, rows are numbered as they are stored, and the numbers stand for the ids."""
+    columns, number = docs.columns, id_col
+    if ambiguous_ids(docs, id_col):
+        docs, number = numbered_rows(docs)
+    plan = mix(docs, seed=seed, boundary="whole", id_col=number, **options).where("taken > 0")
+    plan = plan.select(F.col("doc_id").alias("plan_id"), F.expr("taken div size").cast("int").alias("times"))
+    taken = docs.join(plan, docs[number] == plan["plan_id"])
+    return taken.select(F.explode(F.sequence(F.lit(1), plan["times"])), *[docs[f"`{c}`"] for c in columns]).select(*[docs[f"`{c}`"] for c in columns])

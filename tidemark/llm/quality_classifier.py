@@ -5,11 +5,12 @@ symbols or in capitals, repetition, length). One weight vector over the hash buc
 grades, gives a score; ordered thresholds turn it into P(grade <= k) = sigmoid(threshold_k - score).
 That gives the expected grade, and the tail probability P(grade >= wanted) by which texts are selected.
 
-The model is fitted on the driver on at most ``max_labelled`` rated documents, those of smallest hash,
-whatever the size of the corpus: a documented bound. All documents are scored, over their whole text.
+The model is fitted in one task, which returns the weights, on at most ``max_labelled`` rated documents,
+those of smallest hash, whatever the size of the corpus: a documented bound. All documents are scored,
+over their whole text.
 
-Defined cases: null text is empty and scored by its shape; null or repeated ratings of a document: the
-lowest non-null rating counts; without ratings, or with one grade only, nothing is known: every
+Defined cases: null text is empty and scored by its shape; of rows that repeat a rated id the one with
+the smallest features is learned; null or repeated ratings of a document: the lowest non-null rating counts; without ratings, or with one grade only, nothing is known: every
 document gets null scores and is kept; repeated rows are scored alike; other columns are ignored.
 """
 
@@ -131,13 +132,21 @@ def train(docs: DataFrame, ratings: DataFrame, max_labelled: int = 12_000, id_co
             blobs = [features(t).tobytes() for t in batch.column(2).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["rid", "grade", "features"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r, g, f) for b in batches for r, g, f in zip(*(c.to_pylist() for c in b.columns)))
+        model = fit([np.frombuffer(f, np.uint32) for _, _, f in rows], np.array([g for _, g, _ in rows])) if rows else None
+        if model is not None:
+            cells = (model.weights.tobytes(), model.thresholds.tobytes(), np.array(model.grades, float).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["weights", "thresholds", "grades"])
+
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("did"), text_or_empty(text_col).alias("text"))
     picked = texts.join(F.broadcast(sample), F.col("did") == F.col("rid")).select(F.col("rid").cast("long").alias("rid"), "grade", "text")
-    found = picked.mapInArrow(tidy(run), "rid long, grade double, features binary").collect()
-    found = sorted(found, key=lambda r: (r.rid, r.features))
-    if not found:
+    found = picked.mapInArrow(tidy(run), "rid long, grade double, features binary").groupBy("rid").agg(F.min("grade").alias("grade"), F.min("features").alias("features"))
+    models = found.select("rid", "grade", "features").coalesce(1).mapInArrow(tidy(fitted), "weights binary, thresholds binary, grades binary").collect()
+    if not models:
         return None
-    return fit([np.frombuffer(r.features, np.uint32) for r in found], np.array([r.grade for r in found]))
+    return OrdinalModel(np.frombuffer(models[0].weights, np.float32), np.frombuffer(models[0].thresholds, np.float64), np.frombuffer(models[0].grades, np.float64).tolist())
 
 
 def scored(docs: DataFrame, model: OrdinalModel | None, wanted: float, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

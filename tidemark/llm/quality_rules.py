@@ -7,8 +7,7 @@ and rejected. Counts are combined before the shuffle, and matches against freque
 so a line that a third of all documents hold is no hot key.
 
 Defined cases: null text has no words and fails the base rule; a null host is a host of its own; of
-rows that repeat an id each counts as a document in line counts, and removed words are matched by id
-and summed, so ids should be unique; an empty table gives an empty result; only id, text and host are
+rows that repeat an id each counts as a document in line counts and is judged by its own text; an empty table gives an empty result; only id, text and host are
 read, so clashing names don't matter.
 """
 
@@ -71,29 +70,40 @@ def base_counts(docs: DataFrame) -> DataFrame:
     return repeated_words(d).drop("lines", "words")
 
 
+def _host() -> Column:
+    return F.struct(F.col("host").isNull(), F.coalesce(F.col("host").cast("string"), F.lit("")))
+
+
+#: Tells rows that repeat an id apart.
+ROW_SQL = "xxhash64(host, body)"
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
-    """One row for each different line of a document: id, line (hash with host), n (its words in the document)."""
-    host = F.struct(F.col("host").isNull(), F.coalesce(F.col("host").cast("string"), F.lit("")))
-    line = F.explode(F.split("body", "\n")).alias("line")
-    rows = docs.select("id", host.alias("h"), line).withColumn("line", F.regexp_replace(F.btrim(F.lower("line"), F.lit(WS)), SEP, " ")).where("line <> ''")
-    return rows.select("id", F.xxhash64("h", "line").alias("line"), word_count(F.col("line")).alias("n"))
+    """One row for each line of a document: id, row (hash of host and text), at, line (hash with host), n (its words)."""
+    line = F.posexplode(F.split("body", "\n")).alias("at", "line")
+    rows = docs.select("id", F.expr(ROW_SQL).alias("row"), _host().alias("h"), line).withColumn("line", F.regexp_replace(F.btrim(F.lower("line"), F.lit(WS)), SEP, " ")).where("line <> ''")
+    return rows.select("id", "row", "at", F.xxhash64("h", "line").alias("line"), word_count(F.col("line")).alias("n"))
 
 
-def line_verdicts(docs: DataFrame, max_docs: int) -> DataFrame:
-    """id, removed: the words of each document that stand in lines frequent on its host."""
-    host = F.struct(F.col("host").isNull(), F.coalesce(F.col("host").cast("string"), F.lit("")))
+def frequent_lines(docs: DataFrame, max_docs: int) -> DataFrame:
+    """line: hashes (with host) of lines in more than ``max_docs`` documents of a host."""
     each = F.transform(F.split(F.lower("body"), "\n"), lambda x: F.regexp_replace(F.btrim(x, F.lit(WS)), SEP, " "))
     hashed = F.transform(F.array_distinct(F.filter(each, lambda x: x != "")), lambda x: F.xxhash64("h", x))
-    counts = docs.select(host.alias("h"), "body").select(F.explode(hashed).alias("line")).groupBy("line").count()
-    frequent = counts.where(F.col("count") > max_docs).select("line")
-    frequent = staged(frequent, "frequent-lines")
+    counts = docs.select(_host().alias("h"), "body").select(F.explode(hashed).alias("line")).groupBy("line").count()
+    return staged(counts.where(F.col("count") > max_docs).select("line"), "frequent-lines")
+
+
+def line_verdicts(docs: DataFrame, max_docs: int) -> DataFrame:
+    """id, row, removed: the words of each document that stand in lines frequent on its host."""
+    frequent = frequent_lines(docs, max_docs)
     rows = line_rows(docs)
     if frequent.count() <= BROADCAST_LINES:
         hits = rows.join(F.broadcast(frequent), "line")
     else:
         salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"])
-    return hits.groupBy("id").agg(F.sum("n").alias("removed"))
+    hits = hits.groupBy("id", "row", "at").agg(F.first("n").alias("n"))  # rows that repeat id and text have the same lines
+    return hits.groupBy("id", "row").agg(F.sum("n").alias("removed"))
 
 
 def apply_rules(
@@ -106,28 +116,34 @@ def apply_rules(
     text_col: str = "text",
     host_col: str = "source",
 ) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, base_failed, kept, row (hash of host and text)."""
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"), F.col(host_col).alias("host"))
-    removed = line_verdicts(rows, max_docs).withColumnRenamed("id", "rid")
-    base = base_counts(rows).drop("body", "host")
-    out = base.join(removed, F.col("id").eqNullSafe(F.col("rid")), "left")
+    removed = line_verdicts(rows, max_docs).withColumnsRenamed({"id": "rid", "row": "rrow"})
+    base = base_counts(rows).withColumn("row", F.expr(ROW_SQL)).drop("body", "host")
+    out = base.join(removed, F.col("id").eqNullSafe(F.col("rid")) & (F.col("row") == F.col("rrow")), "left")
     lost = F.coalesce(F.col("removed"), F.lit(0))
     failed: Column = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     left = F.col("n_words") - lost
     return out.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        lost.alias("removed_words"), failed.alias("base_failed"), (~failed & (left >= min_left * F.col("n_words"))).alias("kept"),
+        lost.alias("removed_words"), failed.alias("base_failed"), (~failed & (left >= min_left * F.col("n_words"))).alias("kept"), "row",
     )
 
 
 def cleaned(docs: DataFrame, max_docs: int = 100, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """doc_id, text of kept documents without their frequent lines (matched by shuffle on document id)."""
-    verdict = apply_rules(docs, max_docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits).where("kept").select(F.col("doc_id").alias("kid"))
+    """doc_id, text of kept documents without their frequent lines, empty lines included; of rows that repeat id, text and host one."""
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("body"), F.col(host_col).alias("host"))
-    host = F.struct(F.col("host").isNull(), F.coalesce(F.col("host").cast("string"), F.lit("")))
+    verdict = apply_rules(docs, max_docs, id_col=id_col, text_col=text_col, host_col=host_col, **limits)
+    removed = frequent_lines(rows, max_docs)
     norm = F.regexp_replace(F.btrim(F.lower("line"), F.lit(WS)), SEP, " ")
-    lines = rows.select("id", host.alias("h"), F.posexplode(F.split("body", "\n")).alias("at", "line")).withColumn("hash", F.xxhash64("h", norm))
-    per_host = rows.select("id", host.alias("h"), F.explode(F.split("body", "\n")).alias("line")).select("id", F.xxhash64("h", norm).alias("hash")).distinct()
-    frequent = per_host.groupBy("hash").count().where(F.col("count") > max_docs).select("hash")
-    kept_lines = lines.join(frequent, "hash", "left_anti").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
-    return kept_lines.join(verdict, F.col("id").eqNullSafe(F.col("kid"))).select(F.col("id").alias("doc_id"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    lines = rows.select("id", F.expr(ROW_SQL).alias("row"), _host().alias("h"), F.posexplode(F.split("body", "\n")).alias("at", "text_line"))
+    lines = lines.withColumn("line", F.col("text_line")).withColumn("line", F.xxhash64("h", norm))
+    if removed.count() <= BROADCAST_LINES:
+        left = lines.join(F.broadcast(removed), "line", "left_anti")
+    else:
+        salted = removed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = lines.withColumn("salt", F.pmod(F.xxhash64("id", "row", "at"), F.lit(SALTS)).cast("int")).join(salted, ["line", "salt"], "left_anti")
+    left = left.groupBy("id", "row").agg(F.sort_array(F.collect_set(F.struct("at", "text_line"))).alias("l"))
+    kept = verdict.where("kept").select(F.col("doc_id").alias("kid"), F.col("row").alias("krow")).distinct()
+    found = left.join(kept, F.col("id").eqNullSafe(F.col("kid")) & (F.col("row") == F.col("krow")))
+    return found.select(F.col("id").alias("doc_id"), F.array_join(F.transform("l", lambda x: x["text_line"]), "\n").alias("text"))

@@ -51,7 +51,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(_docs(spark, sf_dir))
+    return quality_rules.apply_rules(_docs(spark, sf_dir)).drop("row")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
