@@ -381,11 +381,8 @@ def test_similar_groups_merge_what_the_first_pass_leaves_apart(spark, monkeypatc
     """Eight near copies that the first pass links in four pairs only are one group after the second."""
     words = [f"w{k}" for k in range(200)]
     texts = [" ".join(words[:100] + [f"edit{k}"] + words[100:]) for k in range(8)]
-    found = simhash.candidates
 
-    def in_pairs(nodes, every):
-        if every:
-            return found(nodes, every)
+    def in_pairs(nodes):
         ids = sorted(r.id for r in nodes.collect())
         return spark.createDataFrame([*zip(ids[::2], ids[1::2])], "a long, b long")
 
@@ -394,29 +391,45 @@ def test_similar_groups_merge_what_the_first_pass_leaves_apart(spark, monkeypatc
     assert len(got) == 8 and {r.group_id for r in got} == {0}
 
 
-def test_near_pairs_name_every_row_and_every_pair_of_labels():
+def test_near_pairs_name_every_row():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, (6, 4)).astype(np.uint64)
     fps = np.concatenate([base ^ np.uint64(k) for k in range(12)])
     d = np.array([[sum(int(x ^ y).bit_count() for x, y in zip(p, q)) for q in fps] for p in fps])
     near = {(i, j) for i in range(72) for j in range(i + 1, 72) if d[i, j] <= 8}
-    labels = np.arange(72) // 6 % 3
-    every = {*zip(*(x.tolist() for x in simhash._near_pairs(fps, labels, 8, True)))}
-    assert every == {(i, j) for i, j in near if labels[i] != labels[j]}
-    some = {*zip(*(x.tolist() for x in simhash._near_pairs(fps, np.arange(72), 8, False)))}
+    some = {*zip(*(x.tolist() for x in simhash._first_near(fps, 8)))}
     assert some <= near and {i for p in some for i in p} == {i for p in near for i in p} and len(some) < 2 * 72
-    keys = np.zeros(72, np.int64)
-    for same in (False, True):
-        batch = pa_batch(keys, np.arange(72), labels if same else np.arange(72), fps)
-        out = [b for b in simhash.key_pairs(4, 8, same)(iter([batch]))]
-        got = {(a, b) for o in out for a, b in zip(o.column(0).to_pylist(), o.column(1).to_pylist())}
-        assert got == every if same else got <= near
+    out = [b for b in simhash.key_pairs(4, 8)(iter([pa_batch(np.zeros(72, np.int64), np.arange(72), fps)]))]
+    assert {(a, b) for o in out for a, b in zip(o.column(0).to_pylist(), o.column(1).to_pylist())} <= near
 
 
-def pa_batch(keys, ids, labels, fps):
+def test_prefix_pairs_miss_nothing_and_stay_few(spark):
+    rng = np.random.default_rng(5)
+    sets = []
+    for size, own, n in ((200, 18, 40), (200, 26, 40), (200, 50, 60), (37, 4, 20), (6, 1, 6)):  # around a template each
+        template = rng.integers(0, 2**63, size).astype("<u8")
+        for _ in range(n):
+            x = template.copy()
+            x[rng.choice(size, int(rng.integers(0, own + 1)) if own < 40 else own, replace=False)] = rng.integers(0, 2**63)
+            x[: own // 2] = rng.integers(0, 2**63, own // 2)
+            sets.append(np.unique(x))
+    sets.append(np.empty(0, "<u8"))
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "node long, shingles binary").repartition(3)
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 1)], "of_node long, label long")
+    got = {(r.a, r.b) for r in simhash.prefix_pairs(frame, labels).collect()}
+    python = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if python[i] and 5 * len(python[i] & python[j]) >= 4 * len(python[i] | python[j])}
+    want -= {(0, 1), (0, 2), (1, 2)}
+    assert want and want <= got and len(got) < len(sets) ** 2 // 8
+    assert not any(80 <= i < 140 for p in got for i in p)  # similarity far too small: no pairs at all
+    assert simhash.prefix_pairs(frame.limit(0), labels).count() == 0
+
+
+def pa_batch(keys, ids, fps):
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids, labels, *(np.ascontiguousarray(fps[:, i]).view(np.int64) for i in range(fps.shape[1])))], ["key", "id", "label", *"wxyz"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids, *(np.ascontiguousarray(fps[:, i]).view(np.int64) for i in range(fps.shape[1])))], ["key", "id", *"wxyz"])
 
 
 

@@ -349,19 +349,18 @@ def shingled(docs: DataFrame, width: int, words: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), shape)
 
 
-def _near_pairs(fps: np.ndarray, labels: np.ndarray, limit: int, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of near pairs in one key's rows. With ``every`` all pairs of different labels, else for each
-    row its first near row, so that every row that has one is named."""
-    a, b, named = [], [], np.zeros(len(fps), bool)
-    if not every and len(fps) > MATRIX:
+def _first_near(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of near pairs in one key's rows: for each row its first near row, so that every row that has one is named."""
+    if len(fps) > MATRIX:
         return forest(fps, limit)
+    a, b, named = [], [], np.zeros(len(fps), bool)
     for x in range(len(fps) - 1):
         other = np.arange(x + 1, len(fps))
-        other = other[labels[other] != labels[x]] if every else other[~named[other]] if named[x] else other
+        other = other[~named[other]] if named[x] else other
         near = other[survivors(fps[x], fps[other], limit)] if len(other) else other
-        if not every and len(near):
-            fresh = near[~named[near]]
-            near = fresh if len(fresh) else near[:1]
+        if len(near):
+            new = near[~named[near]]
+            near = new if len(new) else near[:1]
             named[near] = named[x] = True
         a.append(np.full(len(near), x))
         b.append(near)
@@ -369,10 +368,39 @@ def _near_pairs(fps: np.ndarray, labels: np.ndarray, limit: int, every: bool) ->
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def key_pairs(words: int, limit: int, every: bool):
-    """Candidate pairs (a, b), a < b, within runs of equal keys; batches (key, id, label, words...) come sorted by key and id."""
+def by_runs(work, columns: int, convert=lambda x: x):
+    """A mapInArrow function over batches sorted by their first column: ``work(*columns)`` on whole runs of equal keys."""
 
-    def pairs(keys: np.ndarray, ids: np.ndarray, labels: np.ndarray, fps: np.ndarray) -> pa.RecordBatch | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+            held = new if held is None else [np.concatenate(pair) for pair in zip(held, new)]
+            if len(held[0]) < CHUNK:
+                continue
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+            if cut:
+                if (out := work(*(c[:cut] for c in held))) is not None:
+                    yield out
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]) and (out := work(*held)) is not None:
+            yield out
+
+    return run
+
+
+def _pair_batch(one: np.ndarray, other: np.ndarray) -> pa.RecordBatch | None:
+    if not len(one):
+        return None
+    found = np.unique(np.stack((np.minimum(one, other), np.maximum(one, other)), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], ["a", "b"])
+
+
+def key_pairs(words: int, limit: int):
+    """Candidate pairs (a, b), a < b, within runs of equal keys of (key, id, words...): of each row its first near row."""
+
+    def pairs(keys: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch | None:
+        fps = np.stack([c.view(np.uint64) for c in columns], axis=1)
         edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.concatenate((edge, [len(keys)])))
         size_at = np.repeat(sizes, sizes)
@@ -382,11 +410,10 @@ def key_pairs(words: int, limit: int, every: bool):
             if gap >= len(k) or not (same := k[gap:] == k[:-gap]).any():
                 break
             at = np.flatnonzero(same)
-            at = at[labels[small[at]] != labels[small[at + gap]]]
             at = at[survivors(fps[small[at]], fps[small[at + gap]], limit)]
             a.append(small[at])
             b.append(small[at + gap])
-        if a and not every:  # for each row its first near row
+        if a:  # for each row its first near row
             x, y = np.concatenate(a), np.concatenate(b)
             first = np.full(len(keys), len(keys))
             np.minimum.at(first, y, x)
@@ -394,39 +421,89 @@ def key_pairs(words: int, limit: int, every: bool):
             x = np.flatnonzero(first < len(keys))
             a, b = [first[x]], [x]
         for start, size in zip(edge[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-            x, y = _near_pairs(fps[start : start + size], labels[start : start + size], limit, every)
+            x, y = _first_near(fps[start : start + size], limit)
             a.append(x + start)
             b.append(y + start)
-        if not a or not sum(map(len, a)):
-            return None
-        x, y = ids[np.concatenate(a)], ids[np.concatenate(b)]
-        found = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], ["a", "b"])
+        return _pair_batch(ids[np.concatenate(a)], ids[np.concatenate(b)]) if a else None
+
+    return by_runs(pairs, 2 + words)
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of near fingerprints among (id, words...), by which every id that has a near one is named."""
+    names = word_names(SIMILAR_WORDS)
+    keyed = reduce(DataFrame.unionByName, [with_pivot_keys(nodes, n, 0, blocks=SIMILAR_BLOCKS).select("key", "id", *names) for n in names])
+    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidy(key_pairs(SIMILAR_WORDS, SIMILAR_LIMIT)), "a long, b long").distinct()
+
+
+#: Cells of the table of shingle counts by which prefixes are ordered; any order is right, one by frequency is fast.
+COUNT_CELLS = 1 << 20
+
+
+def shingle_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets have a shingle of each cell: COUNT_CELLS numbers, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, labels, fps = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, words), np.uint64)
+        total = np.zeros(COUNT_CELLS, np.int64)
         for batch in batches:
-            column = lambda i, b=batch: b.column(i).to_numpy(zero_copy_only=False)
-            keys, ids, labels = np.concatenate((keys, column(0))), np.concatenate((ids, column(1))), np.concatenate((labels, column(2)))
-            fps = np.concatenate((fps, np.stack([column(3 + i).view(np.uint64) for i in range(words)], axis=1)))
-            if len(keys) < CHUNK:
-                continue
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-            if cut:
-                if (out := pairs(keys[:cut], ids[:cut], labels[:cut], fps[:cut])) is not None:
-                    yield out
-                keys, ids, labels, fps = keys[cut:], ids[cut:], labels[cut:], fps[cut:]
-        if len(keys) and (out := pairs(keys, ids, labels, fps)) is not None:
-            yield out
+            for x in batch.column(0):
+                np.add.at(total, np.frombuffer(x.as_buffer(), "<u8") % COUNT_CELLS, 1)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+
+    cells = sets.select("shingles").mapInArrow(tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNT_CELLS, np.int64)
+    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return out
 
-    return run
 
+def prefix_pairs(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of sets with different labels that may be similar enough: all that are, and few others.
 
-def candidates(nodes: DataFrame, every: bool) -> DataFrame:
-    """Different pairs (a, b) of near fingerprints among (id, label, words...)."""
-    names = word_names(SIMILAR_WORDS)
-    keyed = reduce(DataFrame.unionByName, [with_pivot_keys(nodes, n, 0, blocks=SIMILAR_BLOCKS).select("key", "id", "label", *names) for n in names])
-    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(tidy(key_pairs(SIMILAR_WORDS, SIMILAR_LIMIT, every)), "a long, b long").distinct()
+    Similar sets share a shingle of their prefixes: the rarest ones, one more than a similar set can lack. At the
+    first one shared, what is left of both must still be enough. So sets around one template whose similarity is
+    too small don't become pairs, as their own shingles come first. Sets without shingles are one node."""
+    part, whole = SIMILAR_SHARE
+    shared = sets.sparkSession.sparkContext.broadcast(shingle_counts(sets).astype(np.int32))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            rows = [[], [], [], [], []]
+            for node, label, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                x = np.frombuffer(blob.as_buffer(), "<u8")
+                if not len(x):
+                    continue
+                often = counts[x % COUNT_CELLS]
+                order = np.lexsort((x, often))[: len(x) - -(-part * len(x) // whole) + 1]
+                place = np.flatnonzero(often[order] > 1)  # what one set only has is shared by none
+                for column, values in zip(rows, (x[order[place]].view(np.int64), np.full(len(place), node), np.full(len(place), label), np.full(len(place), len(x)), place)):
+                    column.append(values)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], ["key", "id", "label", "size", "place"])
+
+    def pairs(keys, ids, labels, sizes, places) -> pa.RecordBatch | None:
+        edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        ends = np.append(edge[1:], len(keys))
+        left = sizes - places  # how many shingles two sets can share from this one on
+        # with the smallest partner of its key: what can't be enough for that is enough for none
+        least = np.repeat(sizes[edge], ends - edge)
+        least = np.maximum(least, -(-part * sizes // whole))
+        alive = (part + whole) * left >= part * (sizes + least)
+        a, b = [], []
+        for start, end in zip(edge[ends - edge > 1].tolist(), ends[ends - edge > 1].tolist()):
+            at = start + np.flatnonzero(alive[start:end])
+            for i in range(len(at) - 1):
+                x, y = at[i], at[i + 1 :]
+                y = y[: np.searchsorted(sizes[y], whole * sizes[x] // part, "right")]  # in order of size
+                y = y[((part + whole) * np.minimum(left[x], left[y]) >= part * (sizes[x] + sizes[y])) & (labels[y] != labels[x])]
+                a.append(np.full(len(y), ids[x]))
+                b.append(ids[y])
+        return _pair_batch(np.concatenate(a), np.concatenate(b)) if a else None
+
+    rows = sets.join(labels, sets["node"] == labels["of_node"], "left").select("node", F.coalesce("label", "node").alias("label"), "shingles")
+    rows = rows.mapInArrow(tidy(prefixes), "key long, id long, label long, size long, place long").repartition("key").sortWithinPartitions("key", "size", "id")
+    return rows.mapInArrow(tidy(by_runs(pairs, 5)), "a long, b long").distinct()
 
 
 def similar_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,21 +537,21 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     The wide form of ``near_duplicates``: pairs that meet under keys of equal pivot distances and are near
     over all bits are candidates, and linked if their shingle sets are similar. Documents of equal sets are
     one node; texts without words are grouped with each other. First each node is compared with its first
-    near one of every key; then all candidates that this has not connected. So a large group takes few pairs.
+    near one of every key; then the nodes that have a near one are joined by the prefixes of their sets, leaving out
+    what is connected. So a large group takes few pairs, and no similar pair of such nodes is missed.
     """
     names = word_names(SIMILAR_WORDS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = staged(shingled(texts, width, SIMILAR_WORDS), "wide-fingerprints")
     different = staged(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "wide-different")
-    pairs = staged(candidates(different.select(F.col("node").alias("id"), F.col("node").alias("label"), *names), False), "wide-pairs")
+    pairs = staged(candidates(different.select(F.col("node").alias("id"), *names)), "wide-pairs")
     near = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(different, "node"), "wide-near")
     wanted = near.select(F.col("first").alias("doc_id")).distinct()
     some = texts.join(wanted, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))  # a set may have rows without ids only
     sets = staged(shingled(some, width, 0).join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]), "wide-sets")
     links = staged(verified(pairs, sets), "wide-links")
     labels = staged(components(links), "wide-labels").select(F.col("node").alias("m"), "root")
-    labelled = near.join(labels, F.col("node") == F.col("m"), "left").select(F.col("node").alias("id"), F.coalesce("root", "node").alias("label"), *names)
-    more = staged(candidates(labelled, True).join(pairs, ["a", "b"], "left_anti"), "wide-more")
+    more = staged(prefix_pairs(sets, labels.select(F.col("m").alias("of_node"), F.col("root").alias("label"))).join(pairs, ["a", "b"], "left_anti"), "wide-more")
     more = staged(verified(more, sets), "wide-more-links")
     joined = different.select("node", "first", "copies").join(labels, F.col("node") == F.col("m"), "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
     if not more.isEmpty():  # links between the groups so far
