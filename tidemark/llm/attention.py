@@ -16,9 +16,7 @@ import numpy as np
 BLOCK, WIDTH = 16, 16
 #: Windows computed at once, so that intermediate results stay in the cache.
 AT_ONCE = 256
-FAR = np.float32(-1e9)
-#: Attention scores are cut off here instead of shifted by their maximum, which short rows make costly.
-HIGH, TINY = np.float32(60), np.float32(1e-30)
+FAR, TINY = np.float32(-1e9), np.float32(1e-30)
 _LAG = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
 CAUSAL = np.where(_LAG >= 0, 0, FAR).astype(np.float32)
 _LAG = np.maximum(_LAG, 0)
@@ -64,11 +62,12 @@ class Attention:
             a = np.matmul(qkv[1:, :, :WIDTH], keys.transpose(0, 2, 1))
             a += bias
             a[first[block], :, :BLOCK] = FAR
-            np.minimum(a, HIGH, out=a)
+            a -= a.max(axis=2, keepdims=True)
             np.exp(a, out=a)
             mixed = np.matmul(a, values).reshape(-1, WIDTH + 1)
-            logits = (mixed[:, :WIDTH] / (mixed[:, WIDTH:] + TINY)) @ w["out"]
+            logits = (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ w["out"]
             logits += self.bigram[ids[block].ravel()]
+            logits -= logits.max(axis=1, keepdims=True)
             wanted = logits[np.arange(len(logits)), self.classes[targets[block].ravel()]]
             np.exp(logits, out=logits)
             total = logits @ sums
@@ -79,7 +78,8 @@ class Attention:
 
 
 def gradients(w: dict, bigram: np.ndarray, classes: np.ndarray, ids: np.ndarray, targets: np.ndarray, first: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
-    """Loss and gradients on windows: ids (n, 2 * BLOCK), next ids of the last block, and which of them count."""
+    """Loss and gradients on windows: ids (n, 2 * BLOCK), next ids of the last block, and which of them count.
+    The gradient of ``embed`` is (ids, rows): all other rows are zero."""
     n, scale = len(ids), np.float32(WIDTH**0.5)
     x = w["embed"][ids]
     late = x[:, BLOCK:]
@@ -108,11 +108,10 @@ def gradients(w: dict, bigram: np.ndarray, classes: np.ndarray, ids: np.ndarray,
     g_x = g_k @ w["key"].T + g_v @ w["value"].T
     g_x[:, BLOCK:] += g_q @ w["query"].T
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    g_embed = np.zeros_like(w["embed"])
     order = np.argsort(ids.ravel(), kind="stable")
     sorted_ids = ids.ravel()[order]
     cuts = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
-    g_embed[sorted_ids[cuts]] = np.add.reduceat(flat(g_x)[order], cuts, axis=0)
+    g_embed = (sorted_ids[cuts], np.add.reduceat(flat(g_x)[order], cuts, axis=0))
     return loss, {
         "embed": g_embed, "query": flat(late).T @ flat(g_q), "key": flat(x).T @ flat(g_k), "value": flat(x).T @ flat(g_v),
         "out": flat(mixed).T @ flat(p), "lag": np.bincount(_LAG.ravel(), g_s.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32),
@@ -120,7 +119,8 @@ def gradients(w: dict, bigram: np.ndarray, classes: np.ndarray, ids: np.ndarray,
 
 
 def fit(w: dict, bigram: np.ndarray, classes: np.ndarray, windows: tuple, batch: int = 256, rate: float = 4e-3, seed: int = 0) -> dict:
-    """One pass of Adam over windows (ids, targets, first, valid), in a seeded order; returns new weights."""
+    """One pass of Adam over windows (ids, targets, first, valid), in a seeded order; returns new weights. Of
+    ``embed`` a step moves the rows of the ids it saw, which costs as much as the windows do, not the vocabulary."""
     ids, targets, first, valid = windows
     w = {name: x.copy() for name, x in w.items()}
     m = {name: np.zeros_like(x) for name, x in w.items()}
@@ -132,9 +132,11 @@ def fit(w: dict, bigram: np.ndarray, classes: np.ndarray, windows: tuple, batch:
         _, g = gradients(w, bigram, classes, ids[at], targets[at], first[at], valid[at])
         pace = rate * min(1.0, 0.1 + 1.5 * (1 - step / (steps + 1)))
         for name, x in g.items():
-            m[name] += (x - m[name]) * np.float32(0.1)
-            s[name] += (x * x - s[name]) * np.float32(0.01)
-            w[name] -= np.float32(pace) * (m[name] / np.float32(1 - 0.9**step)) / (np.sqrt(s[name] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+            at, x = x if name == "embed" else (slice(None), x)
+            first_moment = m[name][at] * np.float32(0.9) + x * np.float32(0.1)
+            second_moment = s[name][at] * np.float32(0.99) + x * x * np.float32(0.01)
+            m[name][at], s[name][at] = first_moment, second_moment
+            w[name][at] -= np.float32(pace) * (first_moment / np.float32(1 - 0.9**step)) / (np.sqrt(second_moment / np.float32(1 - 0.99**step)) + np.float32(1e-8))
     return w
 
 

@@ -1,11 +1,12 @@
 """LM scoring of whole texts: a causal self-attention model on subword ids, and corpus word counts.
 
 Words are spelled in subword ids. The attention model (attention.py) gives P(word | context) as the
-product over its ids, closed by the chance that the next id begins a word. The base is the smoothed
-unigram of the training texts, in which all words they lack share one slot. The score of a word is
+product over its ids, closed by the chance that the next id begins a word; the sum of its logarithms over
+a text is ``score``. The base is the smoothed unigram of the training texts, in which all words they lack
+share one slot. ``mixed_score`` mixes both, word by word,
   (1 - SHARE) * base probability  +  SHARE * P(word | context),
-so words that the corpus repeats keep their frequency, and context and spelling tell the others.
-The attention model alone is reported beside it.
+where words that training lacks get the slot's probability times P(word | context): the attention model
+tells them apart, and the probabilities of all words add up to one at most.
 
 What is learned covers every training text: word counts, pair counts of ids (class of the next id
 after each id, probabilities within classes) and, for the attention weights, every window of every
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,11 @@ ASKED, PAIRS, WEIGHTS, BATCH, STATS = "asked", "pairs", "weights", "batch", "sta
 #: What a stats row counts: different training words, training tokens.
 WORDS, TOKENS = -1, -2
 ROW = "kind string, part int, batch long, n long, blob binary"
-PAIR_PARTS, WEIGHT_PARTS = 16, 16
+WEIGHT_PARTS = 16
+#: Bytes of text for each part of the pair counts, of which there are MOST_PARTS at most.
+PAIR_BYTES, MOST_PARTS = 100_000_000, 4096
+#: Pairs held before they are added up.
+PAIRS_HELD = 4_000_000
 
 
 def held_out(doc_id) -> bool:
@@ -73,7 +78,7 @@ def record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["kind", "part", "batch", "n", "blob"])
 
 
-BATCH_TYPES = ("i8", "u1", "i4", "u4", "u2", "u2", "i4")  # ids, held out, words a text, word numbers, ids a word, their ids, words a part
+BATCH_TYPES = ("i8", "u1", "i4", "u4", "u4", "u2", "i4")  # ids, held out, words a text, word numbers, ids a word, their ids, words a part
 
 
 def spelled(numbers: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +125,7 @@ def numbered(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), np.diff(ends)
 
 
-def encode_batches(shared, parts: int):
+def encode_batches(shared, parts: int, pair_parts: int):
     """Texts to batches: word numbers and dictionary, questions for counts, pair counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +167,7 @@ def encode_batches(shared, parts: int):
         again[order] = np.arange(len(order), dtype=np.uint32)
         stream, hashes, part = again[stream], hashes[order], part[order]
         spell = [spell[i] for i in order.tolist()]
-        lengths = np.fromiter(map(len, spell), np.uint16, len(spell))
+        lengths = np.fromiter(map(len, spell), np.uint32, len(spell))
         spelling = np.fromiter(chain.from_iterable(spell), np.uint16, int(lengths.sum(dtype=np.int64)))
         out = np.array([held_out(i) for i in ids], np.uint8)
         trained = np.repeat(out == 0, counts)
@@ -195,7 +200,8 @@ def encode_batches(shared, parts: int):
         pairs, which = np.unique(keys, return_inverse=True)
         total = np.bincount(which, weight).astype(np.int64)
         pairs, total = pairs[total > 0], total[total > 0]
-        return [(PAIRS, p, batch, 0, packed(pairs[mine], total[mine])) for p in range(PAIR_PARTS) if (mine := pairs // size % PAIR_PARTS == p).any()]
+        of = pairs // size % pair_parts
+        return [(PAIRS, p, batch, 0, packed(pairs[mine], total[mine])) for p in range(pair_parts) if (mine := of == p).any()]
 
     return run
 
@@ -229,12 +235,29 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(out)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows (part, n, blob) one by one."""
+    for b in batches:
+        for part, n, blob in zip(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4)):
+            yield part, n, blob.as_py()
+
+
 def sum_pairs(size: int):
+    """Pairs of each task added up; what is held stays bounded by the different pairs of its parts."""
+
+    def added(cells: list) -> list:
+        pairs, which = np.unique(np.concatenate([c[0] for c in cells]), return_inverse=True)
+        return [(pairs, np.bincount(which, np.concatenate([c[1] for c in cells])).astype(np.int64))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _parts(batches):
-            cells = [unpacked(r[4], "i8", "i8") for r in rows]
-            pairs, which = np.unique(np.concatenate([c[0] for c in cells]), return_inverse=True)
-            total = np.bincount(which, np.concatenate([c[1] for c in cells])).astype(np.int64)
+        cells, held = [], 0
+        for _, _, blob in _rows(batches):
+            cells.append(unpacked(blob, "i8", "i8"))
+            held += len(cells[-1][0])
+            if held > PAIRS_HELD + 2 * len(cells[0][0]):
+                cells, held = added(cells), 0
+        if cells:
+            [(pairs, total)] = added(cells)
             yield pa.RecordBatch.from_arrays([pa.array((pairs // size).astype(np.int32)), pa.array((pairs % size).astype(np.int32)), pa.array(total)], ["before", "next", "n"])
 
     return run
@@ -315,9 +338,11 @@ def trained(model: Attention, batches: DataFrame, rounds: int, begin_id: int) ->
         return run
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _parts(batches):
-            total = sum(np.frombuffer(r[4], np.float32, offset=16).astype(np.float64) for r in rows) / sum(r[3] for r in rows)
-            yield record([(WEIGHTS, rows[0][1], 0, 0, packed(total.astype(np.float32)))])
+        for part, rows in groupby(_rows(batches), key=lambda r: r[0]):  # one after the other, not all at once
+            total, windows = 0, 0
+            for _, n, blob in rows:
+                total, windows = total + np.frombuffer(blob, np.float32, offset=16).astype(np.float64), windows + n
+            yield record([(WEIGHTS, part, 0, 0, packed((total / windows).astype(np.float32)))])
 
     blobs = batches.select("blob")  # as the files lie: no shuffle
     for turn in range(rounds):
@@ -335,7 +360,7 @@ def trained(model: Attention, batches: DataFrame, rounds: int, begin_id: int) ->
     return model
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, attention_score double"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixed_score double"
 
 
 def score_batches(shared, tokens: int, words: int, begin_id: int):
@@ -365,12 +390,13 @@ def score_batches(shared, tokens: int, words: int, begin_id: int):
         last = np.zeros(len(numbers), bool)
         last[at + counts - 1] = True
         spell += np.where(last, 0.0, close)  # the text's end closes its last word
-        mixed = np.log10((1 - SHARE) * 10**base + SHARE * np.exp(spell))
+        spelt = np.exp(spell)
+        mixed = np.log10(np.maximum((1 - SHARE) * 10**base * np.where(c > 0, 1.0, spelt) + SHARE * spelt, 1e-300))
         total = lambda x: pa.array(np.add.reduceat(x, at))
         null = (flags & 2) > 0
         n = len(counts)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc_ids, mask=null), pa.array((flags & 1) > 0), pa.array(counts.astype(np.int64)), total((c > 0).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), total(base), total(mixed), total(spell / np.log(10))],
+            [pa.array(doc_ids, mask=null), pa.array((flags & 1) > 0), pa.array(counts.astype(np.int64)), total((c > 0).astype(np.int64)), pa.array(np.full(n, tokens, np.int64)), total(base), total(spell / np.log(10)), total(mixed)],
             [f.split()[0] for f in SCORED.split(", ")],
         )
 
@@ -378,7 +404,7 @@ def score_batches(shared, tokens: int, words: int, begin_id: int):
 
 
 def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score (of the attention model alone)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (of the attention model), mixed_score."""
     spark = docs.sparkSession
     vocabulary = load_vocabulary(model_path)
     with open(model_path, "rb") as f:
@@ -387,14 +413,15 @@ def score_documents(docs: DataFrame, model_path: str, rounds: int = 2, id_col: s
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     default = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(default, -(-size // (6 * WORDS_PER_TASK)))
+    pair_parts = min(max(16, -(-size // PAIR_BYTES)), MOST_PARTS)
 
-    work = staged(texts.mapInArrow(tidy(encode_batches(shared, parts), ("sentencepiece",)), ROW), "lm-batches", by="kind")
+    work = staged(texts.mapInArrow(tidy(encode_batches(shared, parts, pair_parts), ("sentencepiece",)), ROW), "lm-batches", by="kind")
     of = lambda kind: work.where(F.col("kind") == kind).select("kind", "part", "batch", "n", "blob")
     answers = staged(of(ASKED).repartitionById(parts, "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(count_words, ("sentencepiece",)), ROW), "lm-counts", by="kind")
     totals = {r.batch: r.n for r in answers.where(F.col("kind") == STATS).groupBy("batch").agg(F.sum("n").alias("n")).collect()}
     words, tokens = totals.get(WORDS, 0), totals.get(TOKENS, 0)
 
-    pairs = of(PAIRS).repartitionById(PAIR_PARTS, "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(sum_pairs(len(vocabulary["pieces"])), ("sentencepiece",)), "before int, next int, n long")
+    pairs = of(PAIRS).repartitionById(pair_parts, "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(sum_pairs(len(vocabulary["pieces"])), ("sentencepiece",)), "before int, next int, n long")
     pairs = staged(pairs, "lm-pairs")
     model = trained(initial_model(pairs, vocabulary), of(BATCH), rounds, vocabulary["bos"])
 
