@@ -62,21 +62,30 @@ def not_static(url: Column) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """Names for SQL: hash_code(text, factor), split_words(text, separator) (a table function), avg_temp."""
+    """Names for SQL: hash_code(text, factor), a function of native expressions; split_words(text, separator), a table
+    function; avg_temp, an aggregate; and top_two, a table aggregate over a table of (key as text, value):
+    SELECT * FROM top_two(TABLE(SELECT CAST(id AS STRING), value FROM t) PARTITION BY id)."""
     from pyspark.sql.functions import pandas_udf, udtf
 
-    @pandas_udf("int")
-    def hash_code_udf(text: pd.Series, factor: pd.Series) -> pd.Series:
-        def one(s, f):
-            if s is None:
-                return None
-            h = 0
-            for c in s:
-                h = (h * 31 + ord(c)) & 0xFFFFFFFF
-            h = (h - (1 << 32) if h >> 31 else h) * int(f) & 0xFFFFFFFF
-            return h - (1 << 32) if h >> 31 else h
+    low = "(x & 4294967295L)"
+    wrapped = f"if({low} >= 2147483648L, {low} - 4294967296L, {low})"
+    hashed = "aggregate(filter(transform(split(text, ''), c -> cast(ascii(c) as bigint)), c -> c > 0), 0L, (h, c) -> (h * 31L + c) & 4294967295L)"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION hash_code(text STRING, factor INT) RETURNS INT
+        RETURN CAST(element_at(transform(transform(array({hashed}), x -> {wrapped} * factor), x -> {wrapped}), 1) AS INT)""")
 
-        return pd.Series([one(s, f) for s, f in zip(text, factor)], dtype="Int32")
+    @udtf(returnType="id string, value double, rank bigint")
+    class TopTwo:
+        def __init__(self):
+            self.id, self.best = None, []
+
+        def eval(self, row):
+            self.id = row[0]
+            if row[1] is not None:
+                self.best = sorted([*self.best, float(row[1])], reverse=True)[:2]
+
+        def terminate(self):
+            for rank, value in enumerate(self.best, 1):
+                yield self.id, value, rank
 
     @udtf(returnType="word: string, length: int")
     class SplitWords:
@@ -88,6 +97,6 @@ def register(spark: SparkSession) -> None:
     def avg_temp(temperature: pd.Series) -> float:
         return float(temperature.mean())
 
-    spark.udf.register("hash_code", hash_code_udf)
     spark.udf.register("avg_temp", avg_temp)
+    spark.udtf.register("top_two", TopTwo)
     spark.udtf.register("split_words", SplitWords)

@@ -65,6 +65,14 @@ def bitmap_distinct_per_window(df: DataFrame, ts: str, size: str, what: str, see
     return distinct_per_window(df.select(ts, position.alias("position")), ts, size, "position", name)
 
 
+def bitmap_distinct_sightings(df: DataFrame, ts: str, size: str, what: str, row: str, seed: int = 61, bits: int = 28, name: str = "uv") -> DataFrame:
+    """One row for every first sighting of a bitmap position in a window: ``row`` (the sighting's id) and the count so far."""
+    position = polynomial_hash(F.col(what).cast("string"), seed, bits)
+    seen = df.groupBy(window_column(ts, size).alias("window"), position.alias("position")).agg(F.min(F.struct(ts, row)).alias("first"))
+    so_far = F.row_number().over(W.partitionBy("window").orderBy("first")).cast("long")
+    return seen.select(F.col("window.start").alias("window_start"), F.col(f"first.{row}").alias(row), so_far.alias(name))
+
+
 def top_rows(df: DataFrame, keys: list[str], value: str, n: int = 2) -> DataFrame:
     """Several rows a group: the ``n`` largest values with their rank; fewer where a group has fewer."""
     nth = F.row_number().over(W.partitionBy(*keys).orderBy(F.col(value).desc()))  # Spark limits each group before it shuffles

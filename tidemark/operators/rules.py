@@ -63,41 +63,24 @@ def failures_by_timer(df: DataFrame, keys: list[str], order: list[str], ts: str,
 
     Failures up to and including the firing time belong to the firing. A success before it clears all.
     Timers set by failures that were cleared fire on whatever is gathered then.
-    """
 
-    def run(rows):
-        import pandas as pd
-
-        out = []
-        rows = rows.sort_values(order, kind="stable")
-        kept, timers = [], []
-
-        def fire(until):
-            while timers and timers[0] < until:
-                at = timers.pop(0)
-                while timers and timers[0] == at:
-                    timers.pop(0)
-                if len(kept) >= least:
-                    out.append((*key, kept[0], kept[-1], len(kept)))
-                kept.clear()
-
-        key = tuple(rows[k].iloc[0] for k in keys)
-        for at, bad in zip(rows["__at"], rows["__failed"]):
-            fire(at)
-            if bad:
-                kept.append(at)
-                timers.append(at + wait)
-            else:
-                kept.clear()
-        fire(float("inf"))
-        return pd.DataFrame(out, columns=[*keys, "first_at", "last_at", "times"])
-
-    kinds = dict(df.dtypes)
-    d = df.select(*dict.fromkeys([*keys, *order]), F.col(ts).cast("timestamp").cast("double").alias("__at"), failed.alias("__failed"))
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", first_at double, last_at double, times long"
-    found = d.groupBy(*keys).applyInPandas(run, schema)
-    stamp = lambda c: F.timestamp_micros((F.col(c) * 1e6).cast("long")).alias(c)
-    return found.select(*keys, stamp("first_at"), stamp("last_at"), "times")
+    No timer is ever taken back, so all firing times are known: each failure's time and ``wait``. Successes and
+    firings cut a key's history; a cut's failures are a warning if a firing ended it. One shuffle on the key, one
+    sorted pass that keeps a count only. ``order`` must agree with event time.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    places = [F.col(c).alias(f"__o{i}") for i, c in enumerate(order)]
+    d = df.select(*keys, *places, at.alias("__at"), F.coalesce(failed, F.lit(False)).alias("__failed"))
+    timer = F.array(F.lit(0), F.lit(1))
+    steps = d.withColumn("__timer", F.explode(F.when(F.col("__failed"), timer).otherwise(F.array(F.lit(0)))))
+    steps = steps.withColumn("__at", F.col("__at") + F.col("__timer") * int(wait * 1_000_000))
+    before = _by(keys, ["__at", "__timer", *[f"__o{i}" for i in range(len(order))]]).rowsBetween(W.unboundedPreceding, -1)
+    cut = F.when((F.col("__timer") == 1) | ~F.col("__failed"), 1).otherwise(0)
+    steps = steps.withColumn("__part", F.coalesce(F.sum(cut).over(before), F.lit(0)))
+    failure = F.when((F.col("__timer") == 0) & F.col("__failed"), F.col("__at"))
+    found = steps.groupBy(*keys, "__part").agg(F.min(failure).alias("first_at"), F.max(failure).alias("last_at"), F.count(failure).alias("times"), F.max("__timer").alias("__fired"))
+    stamp = lambda c: F.timestamp_micros(F.col(c)).alias(c)
+    return found.where((F.col("__fired") == 1) & (F.col("times") >= least)).select(*keys, stamp("first_at"), stamp("last_at"), "times")
 
 
 def followed_by(df: DataFrame, keys: list[str], ts: str, first: Column, then: Column, within: float) -> DataFrame:

@@ -68,6 +68,6 @@ def row_windows(df: DataFrame, keys: list[str], order: list[str], size: int, sli
     placed = df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
     first = F.ceil(F.col("__rn") / slide) * slide
     ends = F.sequence(first, first + (size - slide), F.lit(slide)) if size > slide else F.array(first)
-    last = placed.groupBy(*keys).agg(F.max("__rn").alias("__last"))
-    spread = placed.withColumn("nth", F.explode(ends)).where(F.col("nth") - F.col("__rn") < size)
-    return spread.join(last, keys).where("nth <= __last").groupBy(*keys, F.col("nth").cast("long").alias("nth")).agg(*aggregates)
+    counted = placed.withColumn("__last", F.count(F.lit(1)).over(W.partitionBy(*keys)))  # in the order the rows have: no join, no further shuffle
+    spread = counted.withColumn("nth", F.explode(ends)).where(F.col("nth") - F.col("__rn") < size)
+    return spread.where("nth <= __last").groupBy(*keys, F.col("nth").cast("long").alias("nth")).agg(*aggregates)

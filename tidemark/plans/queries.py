@@ -7,7 +7,7 @@ create orders and purchases pay them; the number in ``props`` is the item; ``val
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -103,13 +103,51 @@ def page_view_hourly(spark, sf_dir):
 
 
 @query("""
-SELECT time_bucket(INTERVAL '1 minute', ts - INTERVAL '8 hours') + INTERVAL '8 hours' AS window_start, user_id, min(value) AS lowest
-FROM events GROUP BY ALL
+WITH b AS (SELECT time_bucket(INTERVAL '25 minutes', ts, TIMESTAMP '1970-01-01 00:20:00') AS b, user_id, value FROM events)
+SELECT b - INTERVAL '25 minutes' * i AS window_start, b - INTERVAL '25 minutes' * i + INTERVAL '50 minutes' AS window_end, user_id, min(value) AS lowest
+FROM b, range(0, 2) AS t(i) GROUP BY ALL
 """)
 def sliding_with_offset(spark, sf_dir):
-    """An offset of -8 hours counts modulo the slide; here the slide is the size."""
-    w = windows.hopping(events(spark, sf_dir), "ts", "1 minute", "1 minute", ["user_id"], F.min("value").alias("lowest"), offset="-8 hours")
-    return w.drop("window_end")
+    """Windows of 50 minutes every 25, moved by -8 hours, which is 20 minutes modulo the slide."""
+    return windows.hopping(events(spark, sf_dir), "ts", "50 minutes", "25 minutes", ["user_id"], F.min("value").alias("lowest"), offset="-8 hours")
+
+
+@query("""
+WITH b AS (SELECT time_bucket(INTERVAL '15 minutes', ts) AS b, event_type, count(*) AS c FROM events GROUP BY ALL)
+SELECT b - INTERVAL '15 minutes' * i AS hop_start, b - INTERVAL '15 minutes' * i + INTERVAL '1 hour' AS hop_end,
+       b - INTERVAL '15 minutes' * i + INTERVAL '1 hour' - INTERVAL '1 microsecond' AS hop_rowtime, event_type, CAST(sum(c) AS BIGINT) AS n
+FROM b, range(0, 4) AS t(i) GROUP BY ALL
+""")
+def hop_sql(spark, sf_dir):
+    """The SQL form of a sliding window, with its start, end and row time."""
+    events(spark, sf_dir).createOrReplaceTempView("tidemark_events")
+    return spark.sql("""
+        SELECT window.start AS hop_start, window.end AS hop_end, window_time(window) AS hop_rowtime, event_type, n
+        FROM (SELECT window, event_type, count(*) AS n FROM tidemark_events GROUP BY window(ts, '1 hour', '15 minutes'), event_type)""")
+
+
+@query("""
+WITH f AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL '3 hours' THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f)
+SELECT min(ts) AS session_start, max(ts) + INTERVAL '3 hours' AS session_end, user_id, count(*) AS n, max(value) AS highest FROM s GROUP BY user_id, k
+""")
+def session_sql(spark, sf_dir):
+    """The SQL form of a session window."""
+    events(spark, sf_dir).createOrReplaceTempView("tidemark_events")
+    return spark.sql("""
+        SELECT session_window.start AS session_start, session_window.end AS session_end, user_id, count(*) AS n, max(value) AS highest
+        FROM tidemark_events GROUP BY session_window(ts, '3 hours'), user_id""")
+
+
+@query("""
+WITH h AS (SELECT event_id, ts, time_bucket(INTERVAL '1 hour', ts) AS window_start,
+  list_reduce(list_transform(string_split(user_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 61 + c) & 268435455, 0::BIGINT) AS position FROM events WHERE event_type = 'view'),
+f AS (SELECT *, row_number() OVER (PARTITION BY window_start, position ORDER BY ts, event_id) AS nth FROM h)
+SELECT window_start, event_id, row_number() OVER (PARTITION BY window_start ORDER BY ts, event_id) AS uv FROM f WHERE nth = 1
+""")
+def unique_visitors_first_sighting(spark, sf_dir):
+    """The bitmap's running count of each hour, given out whenever a position is set for the first time."""
+    return aggregates.bitmap_distinct_sightings(events(spark, sf_dir, "view"), "ts", "1 hour", "user_id", "event_id")
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, count(DISTINCT user_id) AS uv FROM events WHERE event_type = 'view' GROUP BY ALL")
@@ -216,14 +254,13 @@ def running_count(spark, sf_dir):
 
 
 @query("""
-SELECT user_id, event_id, min(value) OVER w AS value, first_value(event_type) OVER w AS event_type
-FROM (SELECT * FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+SELECT user_id, first_value(event_id) OVER w AS event_id, min(value) OVER w AS value, first_value(event_type) OVER w AS event_type
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
 """)
 def rolling_min(spark, sf_dir):
-    """The smallest value so far; other fields stay the first row's. The row's own id is kept beside."""
-    e = events(spark, sf_dir)
-    w = aggregates.rolling(e, ["user_id"], ["ts", "event_id"], lowest=F.min("value"), first_type=F.first("event_type"))
-    return w.select("user_id", "event_id", F.col("lowest").alias("value"), F.col("first_type").alias("event_type"))
+    """The smallest value so far; the other fields stay the first row's."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value", "event_type")
+    return aggregates.rolling_extreme(e, ["user_id"], ["ts", "event_id"], "value").select("user_id", "event_id", "value", "event_type")
 
 
 @query("""
@@ -257,6 +294,24 @@ def udaf_avg(spark, sf_dir):
     return events(spark, sf_dir).groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("average"), F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT user_id, CAST(round(avg(value) * count(*) * 100) AS BIGINT) AS cents FROM events GROUP BY user_id")
+def udaf_avg_sql(spark, sf_dir):
+    """The registered aggregate in SQL."""
+    scalar.register(spark)
+    table(spark, sf_dir, "events").select("user_id", "value").createOrReplaceTempView("tidemark_events")
+    return spark.sql("""
+        SELECT user_id, CAST(round(average * n * 100) AS BIGINT) AS cents
+        FROM (SELECT user_id, avg_temp(value) AS average FROM tidemark_events GROUP BY user_id) JOIN (SELECT user_id, count(*) AS n FROM tidemark_events GROUP BY user_id) USING (user_id)""")
+
+
+@query("SELECT user_id, value, rank FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) AS rank FROM events) WHERE rank <= 2")
+def table_agg_top2_sql(spark, sf_dir):
+    """The registered table aggregate in SQL."""
+    scalar.register(spark)
+    table(spark, sf_dir, "events").selectExpr("cast(user_id as string) AS id", "value").createOrReplaceTempView("tidemark_values")
+    return spark.sql("SELECT CAST(id AS BIGINT) AS user_id, value, rank FROM top_two(TABLE(SELECT id, value FROM tidemark_values) PARTITION BY id)")
+
+
 @query("SELECT user_id, value, rank FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) AS rank FROM events) WHERE rank <= 2")
 def table_agg_top2(spark, sf_dir):
     return aggregates.top_rows(events(spark, sf_dir), ["user_id"], "value", 2)
@@ -331,7 +386,13 @@ def login_fail_immediate(spark, sf_dir):
     return rules.consecutive_failures(events(spark, sf_dir), ["user_id"], ["event_id"], "ts", F.col("event_type") == "error", 21600.0)
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed FROM events),
+s AS (SELECT user_id, event_id, ts AS t, failed, 0 AS timer FROM e UNION ALL SELECT user_id, event_id, ts + INTERVAL '6 hours', failed, 1 FROM e WHERE failed),
+c AS (SELECT *, coalesce(sum(CASE WHEN timer = 1 OR NOT failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, timer, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM s)
+SELECT user_id, epoch_us(min(t) FILTER (timer = 0 AND failed)) AS first_us, epoch_us(max(t) FILTER (timer = 0 AND failed)) AS last_us, count(*) FILTER (timer = 0 AND failed) AS times
+FROM c GROUP BY user_id, part HAVING max(timer) = 1 AND count(*) FILTER (timer = 0 AND failed) >= 2
+""")
 def login_fail_timer(spark, sf_dir):
     found = rules.failures_by_timer(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "ts", F.col("event_type") == "error", 21600.0)
     return found.select("user_id", epoch("first_at").alias("first_us"), epoch("last_at").alias("last_us"), "times")
@@ -516,6 +577,19 @@ def cdc_latest_left_join(spark, sf_dir):
     return joins.latest_left_join(a, b, ["id"], ["id_2"], "seq", F.col("id") == F.col("id_2")).select("id", "activity_id", "sku_id")
 
 
+@query("""
+WITH a AS (SELECT user_id AS id, arg_max(event_type, event_id) AS kind, arg_max(ts, event_id) AS a_ts FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
+b AS (SELECT user_id AS id, arg_max(event_type, event_id) AS kind, arg_max(ts, event_id) AS b_ts FROM events WHERE event_id % 2 = 1 GROUP BY user_id)
+SELECT a.id, epoch_us(a_ts) AS a_us, epoch_us(b_ts) AS b_us FROM a JOIN b ON a.id = b.id AND b_ts >= a_ts - INTERVAL '4 hours' AND b_ts <= a_ts WHERE a.kind <> 'error' AND b.kind <> 'error'
+""")
+def cdc_interval_join(spark, sf_dir):
+    """Interval join, four hours back, of two tables as they stand after their change logs."""
+    op = F.when(F.col("event_type") == "error", "D").otherwise("U").alias("op")
+    side = lambda rest, key, ts: table(spark, sf_dir, "events").where(f"event_id % 2 = {rest}").select(F.col("user_id").alias(key), F.col("event_id").alias("seq"), op, F.col("ts").alias(ts))
+    a, b = (joins.latest(side(*s), [s[1]], "seq").drop("op", "seq") for s in ((0, "id", "a_ts"), (1, "b_id", "b_ts")))
+    return joins.interval_join(a, b, "id", "b_id", "a_ts", "b_ts", "-4 hours", "0 hours").select("id", epoch("a_ts").alias("a_us"), epoch("b_ts").alias("b_us"))
+
+
 @query("SELECT e.event_id, e.user_id FROM events e WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'purchase' AND date_trunc('day', x.ts) = date_trunc('day', e.ts))")
 def semi_join(spark, sf_dir):
     day = lambda df: df.withColumn("day", F.date_trunc("day", "ts"))
@@ -595,6 +669,19 @@ def udf_hash(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", scalar.hash_code(F.col("c_name"), 10).alias("hash"))
 
 
+@query("""
+WITH h AS (SELECT c_custkey, list_reduce(list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 31 + c) & 4294967295, 0::BIGINT) AS u FROM customer),
+s AS (SELECT c_custkey, CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS h FROM h),
+f AS (SELECT c_custkey, (h * 7) & 4294967295 AS u FROM s)
+SELECT c_custkey, CAST(CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END AS INT) AS hash FROM f
+""")
+def udf_hash_sql(spark, sf_dir):
+    """The registered function in SQL."""
+    scalar.register(spark)
+    table(spark, sf_dir, "customer").createOrReplaceTempView("tidemark_customer")
+    return spark.sql("SELECT c_custkey, hash_code(c_name, 7) AS hash FROM tidemark_customer")
+
+
 @query("""
 SELECT user_id AS id, arg_max(value, (ts, event_id)) AS temperature, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id
 """)
@@ -679,10 +766,41 @@ def binlog_etl(spark, sf_dir):
     return meetings(messages, rooms).select(F.col("meeting_id").cast("long").alias("meeting_id"), "meeting_code", "meetingroom_id", "meetingroom_name", "location_name")
 
 
-@query()
+@query("""
+WITH m AS (SELECT c_custkey AS uid, CAST(c_nationkey AS INT) AS ad_id, c_name AS fullname, 'web' || c_custkey % 3 AS dn, 600000 * (c_custkey % 4) AS at FROM customer),
+r AS (SELECT c_custkey AS uid, 'web' || c_custkey % 3 AS dn, 600000 * (c_custkey % 4) AS at, c_mktsegment AS regsource FROM customer WHERE c_custkey % 5 <> 0),
+p AS (SELECT o_custkey AS uid, 'web' || o_custkey % 3 AS dn, 600000 * (o_orderkey % 4) AS at, printf('%.2f', o_totalprice) AS paymoney, o_orderkey % 6 AS siteid, o_orderkey % 7 AS vip_id FROM orders),
+w AS (SELECT m.*, coalesce(r.regsource, '') AS regsource, coalesce(p.paymoney, '') AS paymoney, coalesce(p.siteid::VARCHAR, '') AS siteid, coalesce(p.vip_id::VARCHAR, '') AS vip_id
+  FROM m LEFT JOIN r ON m.uid = r.uid AND m.dn = r.dn AND m.at = r.at LEFT JOIN p ON m.uid = p.uid AND m.dn = p.dn AND m.at = p.at)
+SELECT substr(md5(uid::VARCHAR), 1, 5) || uid || dn AS row_key, CAST(uid AS BIGINT) AS uid, ad_id, fullname, dn, regsource, paymoney, siteid, vip_id, coalesce(n_name, '') AS adname,
+       coalesce(s.r_name, '') AS sitename, coalesce('level ' || v.r_regionkey, '') AS vip_level
+FROM w LEFT JOIN nation ON ad_id = n_nationkey LEFT JOIN region s ON siteid = s.r_regionkey::VARCHAR LEFT JOIN region v ON vip_id = v.r_regionkey::VARCHAR
+""")
 def warehouse_dim_member(spark, sf_dir):
-    """The layered warehouse on generated topics: 2,000 members and 2,800 payments into wide rows."""
-    from ..sources import generators
+    """The layered warehouse over whole tables as topic records: customers are members and their registrations, orders
+    payments, nations ads, regions sites and VIP levels."""
     from .jobs import dim_member, route_topics
 
-    return dim_member(route_topics(generators.warehouse_topics(spark, 2000, 2800)))
+    read = lambda name: table(spark, sf_dir, name)
+    text = lambda c: F.expr(c).cast("string")
+    start = 1_563_753_600_000
+
+    def topic(name: str, rows: DataFrame, **columns: Column) -> DataFrame:
+        return rows.select(F.lit(name).alias("topic"), F.to_json(F.struct(*[c.alias(k) for k, c in columns.items()])).alias("value"))
+
+    each = lambda name: read(name).withColumn("dn", F.explode(F.array(*[F.lit(f"web{i}") for i in range(3)])))
+    web, ms = F.concat(F.lit("web"), F.expr("c_custkey % 3")), text(f"{start} + 600000 * (c_custkey % 4)")
+    customer = read("customer")
+    records = [
+        topic("basead", each("nation"), adid=text("n_nationkey"), adname=F.col("n_name"), dn=F.col("dn")),
+        topic("basewebsite", each("region"), siteid=text("r_regionkey"), sitename=F.col("r_name"), dn=F.col("dn")),
+        topic("membervip", each("region"), vip_id=text("r_regionkey"), vip_level=F.concat(F.lit("level "), "r_regionkey"), dn=F.col("dn")),
+        topic("member", customer, uid=text("c_custkey"), ad_id=text("c_nationkey"), fullname=F.col("c_name"), register=ms, dn=web),
+        topic("memberregtype", customer.where("c_custkey % 5 <> 0"), uid=text("c_custkey"), regsource=F.col("c_mktsegment"), createtime=ms, dn=web),
+        topic(
+            "memberpaymoney", read("orders"), uid=text("o_custkey"), paymoney=F.format_string("%.2f", "o_totalprice"), siteid=text("o_orderkey % 6"), vip_id=text("o_orderkey % 7"),
+            createtime=text(f"{start} + 600000 * (o_orderkey % 4)"), dn=F.concat(F.lit("web"), F.expr("o_custkey % 3")),
+        ),
+    ]
+    wide = dim_member(route_topics(reduce(DataFrame.unionByName, records)))
+    return wide.select("row_key", F.col("uid").cast("long").alias("uid"), "ad_id", "fullname", "dn", "regsource", "paymoney", "siteid", "vip_id", "adname", "sitename", "vip_level")

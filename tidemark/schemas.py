@@ -89,10 +89,9 @@ def parse_json(lines: DataFrame, schema: str, value: str = "value") -> DataFrame
 
 def parse_binlog(lines: DataFrame, table: str = "t_meeting_info", value: str = "value") -> DataFrame:
     """Inserted rows of one table from change messages: the ordered values 0, 1, 7, 13 and 14 of the first data object."""
-    get = lambda path: F.get_json_object(F.col(value), path)
-    wanted = lines.where((get("$.isDdl") == "false") & (get("$.table") == table) & (get("$.type") == "INSERT"))
-    first = F.get_json_object(F.col(value), "$.data[0]")
-    rows = wanted.select(F.map_values(F.from_json(first, "map<string,string>")).alias("v"))  # parsed once, used five times
+    message = F.from_json(F.col(value), "isDdl string, table string, type string, data array<map<string,string>>")  # one pass
+    wanted = lines.select(message.alias("m")).where((F.col("m.isDdl") == "false") & (F.col("m.table") == table) & (F.col("m.type") == "INSERT"))
+    rows = wanted.select(F.map_values(F.get("m.data", F.lit(0))).alias("v"))
     item = lambda i: F.get("v", F.lit(i))
     return rows.select(
         item(0).try_cast("int").alias("meeting_id"), item(1).alias("meeting_code"), item(7).try_cast("int").alias("address_id"), item(13).alias("mstart_date"), item(14).alias("mend_date")

@@ -147,16 +147,18 @@ def time_partitioned(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumn("ts_date", F.date_format(ts, "yyyy-MM-dd")).withColumn("ts_hour", F.date_format(ts, "HH")).withColumn("ts_minute", F.date_format(ts, "mm"))
 
 
-def commit_partitions(spark: SparkSession, path: str, until, pattern: str = "yyyy-MM-dd HH:mm") -> list[str]:
+def commit_partitions(spark: SparkSession, path: str, until, since=None) -> list[str]:
     """Marks with _SUCCESS every minute partition that ended at or before ``until`` (a datetime: the watermark
-    less the commit delay). Returns the newly marked ones."""
+    less the commit delay). Days before ``since`` are not listed again. Returns the newly marked ones."""
     import datetime
 
     jvm = spark.sparkContext._jvm
     path_of = jvm.org.apache.hadoop.fs.Path
     fs = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     new = []
-    for status in fs.globStatus(path_of(f"{path}/ts_date=*/ts_hour=*/ts_minute=*")):
+    days = [d.getPath() for d in fs.globStatus(path_of(f"{path}/ts_date=*"))]
+    days = [d for d in days if since is None or d.getName() >= f"ts_date={since:%Y-%m-%d}"]
+    for status in (s for d in days for s in fs.globStatus(path_of(f"{d}/ts_hour=*/ts_minute=*"))):
         parts = dict(x.split("=", 1) for x in status.getPath().toString().rsplit("/", 3)[1:])
         end = datetime.datetime.strptime(f"{parts['ts_date']} {parts['ts_hour']}:{parts['ts_minute']}", "%Y-%m-%d %H:%M") + datetime.timedelta(minutes=1)
         marker = path_of(f"{status.getPath()}/_SUCCESS")
@@ -167,18 +169,28 @@ def commit_partitions(spark: SparkSession, path: str, until, pattern: str = "yyy
 
 
 def parquet_by_minute(stream: DataFrame, path: str, checkpoint: str, ts: str, delay_minutes: int = 1) -> StreamingQuery:
-    """Stream to minute partitions; a partition is committed when event time has passed its end by the delay."""
+    """Stream to minute partitions; a partition is committed when event time has passed its end by the delay.
+
+    Each batch writes below its own number (partition column ``batch``) and replaces what an earlier try of it
+    left, so rows come once. The newest event time is kept by batch beside the checkpoint and outlives restarts."""
+    return stream.writeStream.foreachBatch(minute_batches(stream.sparkSession, path, f"{checkpoint.rstrip('/')}-newest", ts, delay_minutes)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def minute_batches(spark: SparkSession, path: str, marks: str, ts: str, delay_minutes: int = 1) -> Callable[[DataFrame, int], None]:
+    """The foreachBatch function of ``parquet_by_minute``."""
     import datetime
 
-    spark = stream.sparkSession
-    seen = {"max": None}
+    delay = datetime.timedelta(minutes=delay_minutes)
 
     def write(df: DataFrame, batch_id: int) -> None:
-        out = time_partitioned(df, ts)
-        out.write.mode("append").partitionBy("ts_date", "ts_hour", "ts_minute").parquet(path)
-        newest = df.agg(F.max(ts)).first()[0]
+        out = time_partitioned(df, ts).withColumn("batch", F.lit(batch_id).cast("long"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ts_date", "ts_hour", "ts_minute", "batch").parquet(path)
+        df.agg(F.min(ts).cast("timestamp").alias("oldest"), F.max(ts).cast("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch_id={batch_id}")
+        seen = spark.read.schema("oldest timestamp, newest timestamp, batch_id bigint").parquet(marks).where(F.col("batch_id") <= batch_id)
+        mine = F.col("batch_id") == batch_id
+        newest, before, oldest = seen.agg(F.max("newest"), F.max(F.when(~mine, F.col("newest"))), F.min(F.when(mine, F.col("oldest")))).first()
         if newest is not None:
-            seen["max"] = max(newest, seen["max"] or newest)
-            commit_partitions(spark, path, seen["max"] - datetime.timedelta(minutes=delay_minutes))
+            since = min(x for x in (before and before - delay, oldest, newest - delay) if x is not None) if before else None
+            commit_partitions(spark, path, newest - delay, since)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return write

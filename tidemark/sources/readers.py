@@ -89,6 +89,12 @@ def change_files(spark: SparkSession, path: str, schema: str, columns: list[str]
     return df.select("op", "seq", *columns) if columns else df
 
 
+def snapshot_then_changes(snapshot: DataFrame, changes: DataFrame) -> DataFrame:
+    """A changing table from its beginning: the rows it had as inserts with sequence number 0, then its changes."""
+    names = [c for c in changes.columns if c not in ("op", "seq")]
+    return snapshot.select(F.lit("I").alias("op"), F.lit(0).cast("long").alias("seq"), *names).unionByName(changes.select("op", "seq", *names))
+
+
 def partitioned_parquet(spark: SparkSession, path: str, schema: str, streaming: bool = False, max_files: int = 1000) -> DataFrame:
     """Partitioned Parquet as table or as stream of new files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path) if streaming else spark.read.schema(schema).parquet(path)

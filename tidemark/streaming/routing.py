@@ -43,10 +43,17 @@ class LateRouter:
 
 
 def retractions(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
-    """Changelog between two states of a keyed result: (is_add = false, old row), (is_add = true, new row)."""
+    """Changelog between two states of a keyed result: (is_add = false, old row), (is_add = true, new row).
+
+    Keys are unique in a state, so one full join by key finds what changed."""
     names = after.columns
-    gone = before.exceptAll(after).select(F.lit(False).alias("is_add"), *names)
-    return gone.unionByName(after.exceptAll(before).select(F.lit(True).alias("is_add"), *names))
+    old = before.select(F.struct(*names).alias("old"), *[F.col(k).alias(f"__old_{k}") for k in keys])
+    new = after.select(F.struct(*names).alias("new"), *[F.col(k).alias(f"__new_{k}") for k in keys])
+    same = [F.col(f"__old_{k}").eqNullSafe(F.col(f"__new_{k}")) for k in keys]
+    changed = old.join(new, same, "full").where(~F.col("old").eqNullSafe(F.col("new")))
+    row = lambda add, side: F.when(F.col(side).isNotNull(), F.struct(F.lit(add).alias("is_add"), F.col(side).alias("r")))
+    steps = F.filter(F.array(row(False, "old"), row(True, "new")), lambda x: x.isNotNull())
+    return changed.select(F.explode(steps).alias("step")).select("step.is_add", "step.r.*")
 
 
 def additions(changelog: DataFrame) -> DataFrame:
@@ -66,6 +73,13 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append", **options:
     return stream.sparkSession.table(name)
 
 
+def started(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", interval: str | None = None) -> StreamingQuery:
+    """Starts a stream into a foreachBatch function. Watermarks and results advance once a batch: every ``interval``
+    (such as "300 milliseconds"), or, without one, once for all that is there until the input is used up."""
+    writer = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
 def supervised(start: Callable[[], StreamingQuery], attempts: int = 3, pause: float = 10.0) -> None:
     """Runs a query to its end, starting it again from its checkpoint after failures."""
     import time

@@ -29,10 +29,12 @@ def _out(columns: dict) -> pd.DataFrame:
 
 class _Processor(StatefulProcessor):
     state_schema = ""
+    #: State of a key that is not updated for so long is dropped (by processing time); None keeps it.
+    retain_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", self.state_schema)
+        self.state = handle.getValueState("state", self.state_schema, self.retain_ms)
 
     def get(self, default: tuple) -> tuple:
         return tuple(self.state.get()) if self.state.exists() else default
@@ -156,8 +158,8 @@ class PairwiseAverage(_Processor):
 
     state_schema = "waiting long"
 
-    def __init__(self, order: str, value: str) -> None:
-        self.order, self.value = order, value
+    def __init__(self, order: str, value: str, retain_ms: int | None = None) -> None:
+        self.order, self.value, self.retain_ms = order, value, retain_ms
 
     def handleInputRows(self, key, rows, timerValues):
         (waiting,) = self.get((None,))
@@ -172,8 +174,10 @@ class PairwiseAverage(_Processor):
         yield _out({"id": [key[0]] * len(out), "average": out})
 
 
-def pairwise_averages(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    return stream.groupBy(key).transformWithStateInPandas(PairwiseAverage(order, value), f"id {dict(stream.dtypes)[key]}, average long", "Append", "None")
+def pairwise_averages(stream: DataFrame, key: str, order: str, value: str, retain_ms: int | None = None) -> DataFrame:
+    """``retain_ms``: how long an idle key's state is kept, such as one day."""
+    operator = PairwiseAverage(order, value, retain_ms)
+    return stream.groupBy(key).transformWithStateInPandas(operator, f"id {dict(stream.dtypes)[key]}, average long", "Append", "ProcessingTime" if retain_ms else "None")
 
 
 class LoginFailures(_Processor):
@@ -193,12 +197,15 @@ class LoginFailures(_Processor):
                 self.handle.registerTimer(times[-1] + self.wait)
             else:
                 times = []
-        self.state.update((times,))
+        if times:
+            self.state.update((times,))
+        else:
+            self.state.clear()  # a key without failures holds nothing
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         (times,) = self.get(([],))
-        self.state.update(([],))
+        self.state.clear()
         yield _out({"id": [key[0]], "first_ms": [times[0]], "last_ms": [times[-1]], "times": [len(times)]} if len(times) >= self.least else {})
 
 
@@ -212,8 +219,8 @@ class Blacklist(_Processor):
 
     state_schema = "day long, count long"
 
-    def __init__(self, ts: str, most: int) -> None:
-        self.ts, self.most = ts, most
+    def __init__(self, ts: str, most: int, retain_ms: int | None = None) -> None:
+        self.ts, self.most, self.retain_ms = ts, most, retain_ms
 
     def handleInputRows(self, key, rows, timerValues):
         day, count = self.get((-1, 0))
@@ -227,7 +234,8 @@ class Blacklist(_Processor):
         yield _out({"key1": [key[0]] * len(found), "key2": [key[1]] * len(found), "ts": [f[0] for f in found], "verdict": [f[1] for f in found]})
 
 
-def blacklisted(stream: DataFrame, keys: tuple[str, str], ts: str, most: int = 100) -> DataFrame:
+def blacklisted(stream: DataFrame, keys: tuple[str, str], ts: str, most: int = 100, retain_ms: int | None = None) -> DataFrame:
+    """``retain_ms``: how long an idle key's count is kept; a day is enough where rows come in time."""
     kinds = dict(stream.dtypes)
     schema = f"key1 {kinds[keys[0]]}, key2 {kinds[keys[1]]}, ts timestamp, verdict string"
-    return stream.groupBy(*keys).transformWithStateInPandas(Blacklist(ts, most), schema, "Append", "None")
+    return stream.groupBy(*keys).transformWithStateInPandas(Blacklist(ts, most, retain_ms), schema, "Append", "ProcessingTime" if retain_ms else "None")
