@@ -81,40 +81,50 @@ def gradients(w: dict, bigram: np.ndarray, classes: np.ndarray, ids: np.ndarray,
     """Loss and gradients on windows: ids (n, 2 * BLOCK), next ids of the last block, and which of them count.
     The gradient of ``embed`` is (ids, rows): all other rows are zero."""
     n, scale = len(ids), np.float32(WIDTH**0.5)
-    x = w["embed"][ids]
-    late = x[:, BLOCK:]
-    q, k, v = late @ w["query"], x @ w["key"], x @ w["value"]
-    s = q @ k.transpose(0, 2, 1) / scale + w["lag"][_LAG] + CAUSAL
-    s[first, :, :BLOCK] = FAR
-    s -= s.max(axis=2, keepdims=True)
-    a = np.exp(s)
+    flat = lambda t: t.reshape(-1, t.shape[-1])  # noqa: E731  # one product of many rows, not one for each window
+    blocks = lambda t: t.reshape(n, -1, t.shape[-1])
+    x = np.take(w["embed"], ids, axis=0)
+    late = flat(x[:, BLOCK:])
+    project = np.concatenate((w["key"], w["value"]), axis=1)
+    q, kv = blocks(late @ (w["query"] / scale)), blocks(flat(x) @ project)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    a = q @ k.transpose(0, 2, 1)
+    a += w["lag"][_LAG] + CAUSAL
+    a[first, :, :BLOCK] = FAR
+    a -= a.max(axis=2, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(axis=2, keepdims=True)
-    mixed = a @ v
-    logits = mixed @ w["out"] + bigram[ids[:, BLOCK:]]
-    logits -= logits.max(axis=2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=2, keepdims=True)
-    wanted = classes[targets]
-    i, j = np.arange(n)[:, None], np.arange(BLOCK)[None, :]
-    count = max(int(valid.sum()), 1)
-    loss = float(-(np.log(np.maximum(p[i, j, wanted], 1e-30)) * valid).sum() / count)
-    p[i, j, wanted] -= 1
-    p *= (valid / count)[:, :, None].astype(np.float32)
+    mixed = flat(a @ v)
+    p = mixed @ w["out"]
+    p += np.take(bigram, ids[:, BLOCK:].ravel(), axis=0)
+    p -= p.max(axis=1, keepdims=True)
+    i, wanted = np.arange(len(p)), classes[targets.ravel()]
+    logit = p[i, wanted]
+    np.exp(p, out=p)
+    total = p @ np.ones(p.shape[1], np.float32)
+    share = (valid.ravel() / max(int(valid.sum()), 1)).astype(np.float32)
+    loss = float(((np.log(total) - logit) * share).sum(dtype=np.float64))
+    p *= (share / total)[:, None]
+    p[i, wanted] -= share
     g_mixed = p @ w["out"].T
-    g_a = g_mixed @ v.transpose(0, 2, 1)
-    g_v = a.transpose(0, 2, 1) @ g_mixed
-    g_s = a * (g_a - (g_a * a).sum(axis=2, keepdims=True))
-    g_q, g_k = g_s @ k / scale, g_s.transpose(0, 2, 1) @ q / scale
-    g_x = g_k @ w["key"].T + g_v @ w["value"].T
-    g_x[:, BLOCK:] += g_q @ w["query"].T
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    order = np.argsort(ids.ravel(), kind="stable")
-    sorted_ids = ids.ravel()[order]
+    inner = np.einsum("ij,ij->i", g_mixed, mixed).reshape(n, BLOCK, 1)  # what a row's gradients have in common
+    g_s = blocks(g_mixed) @ v.transpose(0, 2, 1)
+    g_s -= inner
+    g_s *= a
+    g_kv = np.empty_like(kv)
+    g_kv[:, :, :WIDTH], g_kv[:, :, WIDTH:] = g_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ blocks(g_mixed)
+    g_q, g_kv = flat(g_s @ k) / scale, flat(g_kv)
+    g_project = flat(x).T @ g_kv
+    g_x = blocks(g_kv @ project.T)
+    g_x[:, BLOCK:] += blocks(g_q @ w["query"].T)
+    every = ids.ravel().astype(np.uint16 if len(w["embed"]) <= 1 << 16 else np.int64)  # short numbers sort faster
+    order = np.argsort(every, kind="stable")
+    sorted_ids = every[order].astype(np.int64)
     cuts = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
     g_embed = (sorted_ids[cuts], np.add.reduceat(flat(g_x)[order], cuts, axis=0))
     return loss, {
-        "embed": g_embed, "query": flat(late).T @ flat(g_q), "key": flat(x).T @ flat(g_k), "value": flat(x).T @ flat(g_v),
-        "out": flat(mixed).T @ flat(p), "lag": np.bincount(_LAG.ravel(), g_s.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32),
+        "embed": g_embed, "query": late.T @ g_q, "key": g_project[:, :WIDTH], "value": g_project[:, WIDTH:],
+        "out": mixed.T @ p, "lag": np.bincount(_LAG.ravel(), g_s.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32),
     }
 
 
