@@ -279,6 +279,25 @@ def test_every_training_window_is_trained(spark, monkeypatch):
     assert got == want
 
 
+def test_attention_shifts_only_far_sums(monkeypatch):
+    """Exponentials are summed without a shift where that is safe: the same losses, gradients and scores as with one; and
+    where it is not safe they are shifted and stay finite."""
+    rng = np.random.default_rng(5)
+    m = small_model()
+    inputs, targets, first, _ = lm_scoring.laid_out(rng.integers(0, 40, 1500), np.array([1, 300, 16, 33, 1150]), 1)
+    windows = np.concatenate((np.concatenate((inputs[:1], inputs[:-1])), inputs), axis=1), targets, first, rng.random(targets.shape) < 0.9
+    for stretch in (1, 2000):
+        w = {k: v * np.float32(stretch if k in ("query", "out") else 1) for k, v in m.weights.items()}
+        found = []
+        for plain in (60.0, 0.0):  # 0: always shifted
+            monkeypatch.setattr(attention, "PLAIN", plain)
+            loss, g = attention.gradients(w, m.bigram, m.classes, *windows)
+            score, start = attention.Attention(m.classes, m.starts, m.within, m.bigram, w).score(inputs, targets, first)
+            found.append((np.float32(loss), *g.pop("embed"), *g.values(), score, start))
+        for x, y in zip(*found):
+            assert np.isfinite(x).all() and np.allclose(x, y, rtol=1e-3, atol=1e-4 * max(1, np.abs(y).max())), stretch
+
+
 def test_attention_training_lowers_loss():
     m = small_model()
     rng = np.random.default_rng(3)

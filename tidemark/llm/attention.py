@@ -15,7 +15,9 @@ import numpy as np
 
 BLOCK, WIDTH = 16, 16
 #: Windows computed at once, so that intermediate results stay in the cache.
-AT_ONCE = 256
+AT_ONCE = 32
+#: Rows of class logits at once, so that they stay in the cache; exponents whose sums need no shift.
+ROWS, PLAIN = 256, 60.0
 FAR, TINY = np.float32(-1e9), np.float32(1e-30)
 _LAG = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
 CAUSAL = np.where(_LAG >= 0, 0, FAR).astype(np.float32)
@@ -47,91 +49,150 @@ class Attention:
         n = len(ids)
         score, start = np.empty((n, BLOCK), np.float32), np.empty((n, BLOCK), np.float32)
         project = np.concatenate((w["query"] / np.float32(WIDTH**0.5), w["key"], w["value"]), axis=1)
+        qkv_of = np.ones((len(w["embed"]), 3 * WIDTH + 1), np.float32)  # the last column sums the weights
+        np.matmul(w["embed"], project, out=qkv_of[:, :-1])
         bias = w["lag"][_LAG] + CAUSAL
+        flat_targets = targets.ravel()
+        wanted_class, within = self.classes[flat_targets], self.within[flat_targets].reshape(targets.shape)
         sums = np.stack((np.ones(len(self.starts)), self.starts), axis=1).astype(np.float32)  # sums as products: faster on short rows
+        room, steepest = plain_room(self.bigram), norm(w["out"], 0)
+        qkv = np.empty(((AT_ONCE + 1) * BLOCK, 3 * WIDTH + 1), np.float32)
+        qkv[:BLOCK] = 0
+        pairs_of = sliding(qkv.reshape(AT_ONCE + 1, BLOCK, -1))
+        after, raised = np.empty((2, AT_ONCE * BLOCK, len(self.starts)), np.float32)
+        row = np.arange(AT_ONCE * BLOCK) * len(self.starts)
         for at in range(0, n, AT_ONCE):
             block = slice(at, min(at + AT_ONCE, n))
             m = block.stop - at
-            before = max(at - 1, 0)
-            qkv = (w["embed"][ids[before : block.stop].ravel()] @ project).reshape(-1, BLOCK, 3 * WIDTH)
-            if at == 0:
-                qkv = np.concatenate((np.zeros_like(qkv[:1]), qkv))
-            keys = np.concatenate((qkv[:-1, :, WIDTH : 2 * WIDTH], qkv[1:, :, WIDTH : 2 * WIDTH]), axis=1)
-            values = np.ones((m, 2 * BLOCK, WIDTH + 1), np.float32)  # the last column sums the weights
-            values[:, :BLOCK, :WIDTH], values[:, BLOCK:, :WIDTH] = qkv[:-1, :, 2 * WIDTH :], qkv[1:, :, 2 * WIDTH :]
-            a = np.matmul(qkv[1:, :, :WIDTH], keys.transpose(0, 2, 1))
+            here, rows = ids[block].ravel(), slice(at * BLOCK, block.stop * BLOCK)
+            np.take(qkv_of, here, axis=0, out=qkv[BLOCK : BLOCK + len(here)], mode="clip")
+            pairs = pairs_of[:m]
+            a = np.matmul(qkv[BLOCK : BLOCK + len(here), :WIDTH].reshape(m, BLOCK, WIDTH), pairs[:, :, WIDTH : 2 * WIDTH].transpose(0, 2, 1))
             a += bias
             a[first[block], :, :BLOCK] = FAR
-            a -= a.max(axis=2, keepdims=True)
-            np.exp(a, out=a)
-            mixed = np.matmul(a, values).reshape(-1, WIDTH + 1)
-            logits = (mixed[:, :WIDTH] / mixed[:, WIDTH:]) @ w["out"]
-            logits += self.bigram[ids[block].ravel()]
-            logits -= logits.max(axis=1, keepdims=True)
-            wanted = logits[np.arange(len(logits)), self.classes[targets[block].ravel()]]
+            exponentials(a)
+            mixed = np.matmul(a, pairs[:, :, 2 * WIDTH :]).reshape(-1, WIDTH + 1)
+            mixed = mixed[:, :WIDTH] * (1 / mixed[:, WIDTH:])
+            logits = after[: len(here)]
+            np.take(self.bigram, here, axis=0, out=logits, mode="clip")
+            logits += np.matmul(mixed, w["out"], out=raised[: len(here)])
+            if not norm(mixed, 1) * steepest < room:
+                logits -= logits.max(axis=1, keepdims=True)
+            wanted = logits.ravel()[row[: len(here)] + wanted_class[rows]]
             np.exp(logits, out=logits)
             total = logits @ sums
             log_total = np.log(total[:, 0])
-            score[block] = (wanted - log_total + self.within[targets[block].ravel()]).reshape(m, BLOCK)
+            score[block] = (wanted - log_total).reshape(m, BLOCK) + within[block]
             start[block] = (np.log(np.maximum(total[:, 1], TINY)) - log_total).reshape(m, BLOCK)
+            qkv[:BLOCK] = qkv[m * BLOCK : (m + 1) * BLOCK]
         return score, start
 
 
-def gradients(w: dict, bigram: np.ndarray, classes: np.ndarray, ids: np.ndarray, targets: np.ndarray, first: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
-    """Loss and gradients on windows: ids (n, 2 * BLOCK), next ids of the last block, and which of them count.
+def sliding(blocks: np.ndarray) -> np.ndarray:
+    """A view of (blocks, BLOCK, width): each block but the first together with the one before it."""
+    m, size, width = blocks.shape
+    return np.lib.stride_tricks.as_strided(blocks, (m - 1, 2 * size, width), blocks.strides)
+
+
+def exponentials(a: np.ndarray) -> None:
+    """exp(a) in place for weights whose row i of BLOCK always sees its own id, at BLOCK + i. The rows are only
+    shifted to a maximum of zero, which is slow on short rows, if their sums could leave the range of floats."""
+    own = a.reshape(-1, 2 * BLOCK * BLOCK)[:, BLOCK :: 2 * BLOCK + 1]
+    if not (a.max(initial=0) < PLAIN and own.min(initial=0) > -PLAIN):
+        a -= a.max(axis=-1, keepdims=True)
+    np.exp(a, out=a)
+
+
+def norm(x: np.ndarray, axis: int) -> float:
+    """The largest length of rows (axis 1) or columns (axis 0)."""
+    return float(np.sqrt(np.einsum("ij,ij->i" if axis else "ij,ij->j", x, x).max(initial=0)))
+
+
+def plain_room(bigram: np.ndarray) -> float:
+    """How far logits may be from ``bigram`` so that their exponentials sum up without a shift; negative if never."""
+    if not bigram.size:
+        return -1.0
+    return float(PLAIN - max(bigram.max(), -bigram.max(axis=1).min()))
+
+
+def gradients(w: dict, bigram: np.ndarray, classes: np.ndarray, ids: np.ndarray, targets: np.ndarray, first: np.ndarray, valid: np.ndarray, room: float | None = None) -> tuple[float, dict]:
+    """Loss and gradients on windows: ids (n, 2 * BLOCK), next ids of the last block, which windows begin a text, and
+    which next ids count. ``room``: plain_room(bigram), if known.
     The gradient of ``embed`` is (ids, rows): all other rows are zero."""
-    n, scale = len(ids), np.float32(WIDTH**0.5)
-    flat = lambda t: t.reshape(-1, t.shape[-1])  # noqa: E731  # one product of many rows, not one for each window
-    blocks = lambda t: t.reshape(n, -1, t.shape[-1])
+    n, scale, kind = len(ids), np.float32(WIDTH**0.5), w["embed"].dtype
+    room = plain_room(bigram) if room is None else room
     x = np.take(w["embed"], ids, axis=0)
-    late = flat(x[:, BLOCK:])
-    project = np.concatenate((w["key"], w["value"]), axis=1)
-    q, kv = blocks(late @ (w["query"] / scale)), blocks(flat(x) @ project)
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-    a = q @ k.transpose(0, 2, 1)
+    flat = x.reshape(-1, WIDTH)
+    project = np.concatenate((w["query"] / scale, w["key"], w["value"]), axis=1)
+    qkv = np.ones((len(flat), 3 * WIDTH + 1), kind)  # the last column sums the weights
+    np.matmul(flat, project, out=qkv[:, :-1])
+    blocks = qkv.reshape(n, 2 * BLOCK, -1)
+    q, k, v = blocks[:, BLOCK:, :WIDTH], blocks[..., WIDTH : 2 * WIDTH], blocks[..., 2 * WIDTH :]
+    a = q @ k.swapaxes(1, 2)
     a += w["lag"][_LAG] + CAUSAL
     a[first, :, :BLOCK] = FAR
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    mixed = flat(a @ v)
-    p = mixed @ w["out"]
-    p += np.take(bigram, ids[:, BLOCK:].ravel(), axis=0)
-    p -= p.max(axis=1, keepdims=True)
-    i, wanted = np.arange(len(p)), classes[targets.ravel()]
-    logit = p[i, wanted]
-    np.exp(p, out=p)
-    total = p @ np.ones(p.shape[1], np.float32)
-    share = (valid.ravel() / max(int(valid.sum()), 1)).astype(np.float32)
-    loss = float(((np.log(total) - logit) * share).sum(dtype=np.float64))
-    p *= (share / total)[:, None]
-    p[i, wanted] -= share
-    g_mixed = p @ w["out"].T
-    inner = np.einsum("ij,ij->i", g_mixed, mixed).reshape(n, BLOCK, 1)  # what a row's gradients have in common
-    g_s = blocks(g_mixed) @ v.transpose(0, 2, 1)
-    g_s -= inner
+    exponentials(a)
+    mixed = (a @ v).reshape(-1, WIDTH + 1)
+    weight = mixed[:, WIDTH:].copy()
+    mixed = mixed[:, :WIDTH] / weight
+    loss, g_out, g_mixed, pace = class_gradients(w["out"], bigram, mixed, ids[:, BLOCK:].ravel(), classes[targets.ravel()], valid.ravel(), room)
+    g = np.empty((len(mixed), WIDTH + 1), kind)  # of the unscaled sums; the last column is what a row's gradients have in common
+    np.multiply(g_mixed, pace[:, None] / weight, out=g[:, :WIDTH])
+    np.einsum("ij,ij->i", g[:, :WIDTH], mixed, out=g[:, WIDTH])
+    np.negative(g[:, WIDTH], out=g[:, WIDTH])
+    g = g.reshape(n, BLOCK, WIDTH + 1)
+    g_s = g @ v.swapaxes(1, 2)
     g_s *= a
-    g_kv = np.empty_like(kv)
-    g_kv[:, :, :WIDTH], g_kv[:, :, WIDTH:] = g_s.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ blocks(g_mixed)
-    g_q, g_kv = flat(g_s @ k) / scale, flat(g_kv)
-    g_project = flat(x).T @ g_kv
-    g_x = blocks(g_kv @ project.T)
-    g_x[:, BLOCK:] += blocks(g_q @ w["query"].T)
+    g_qkv = np.empty((n, 2 * BLOCK, 3 * WIDTH), kind)
+    g_qkv[:, :BLOCK, :WIDTH] = 0
+    np.matmul(g_s, k, out=g_qkv[:, BLOCK:, :WIDTH])
+    np.matmul(g_s.swapaxes(1, 2), q, out=g_qkv[..., WIDTH : 2 * WIDTH])
+    np.matmul(a.swapaxes(1, 2), g[..., :WIDTH], out=g_qkv[..., 2 * WIDTH :])
+    g_qkv = g_qkv.reshape(-1, 3 * WIDTH)
+    g_project = flat.T @ g_qkv
+    g_x = g_qkv @ project.T
     every = ids.ravel().astype(np.uint16 if len(w["embed"]) <= 1 << 16 else np.int64)  # short numbers sort faster
     order = np.argsort(every, kind="stable")
-    sorted_ids = every[order].astype(np.int64)
-    cuts = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
-    g_embed = (sorted_ids[cuts], np.add.reduceat(flat(g_x)[order], cuts, axis=0))
+    sorted_ids = every[order]
+    cuts = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+    g_embed = (sorted_ids[cuts].astype(np.int64), np.add.reduceat(np.take(g_x, order, axis=0), cuts, axis=0))
     return loss, {
-        "embed": g_embed, "query": late.T @ g_q, "key": g_project[:, :WIDTH], "value": g_project[:, WIDTH:],
-        "out": mixed.T @ p, "lag": np.bincount(_LAG.ravel(), g_s.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32),
+        "embed": g_embed, "query": g_project[:, :WIDTH] / scale, "key": g_project[:, WIDTH : 2 * WIDTH], "value": g_project[:, 2 * WIDTH :],
+        "out": g_out, "lag": np.bincount(_LAG.ravel(), g_s.sum(axis=0).ravel(), 2 * BLOCK).astype(np.float32),
     }
 
 
+def class_gradients(out: np.ndarray, bigram: np.ndarray, mixed: np.ndarray, ids: np.ndarray, wanted: np.ndarray, valid: np.ndarray, room: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Loss, gradient of ``out``, and that of ``mixed`` in two factors: rows and a number for each. Rows of classes are made
+    ROWS at a time, so that they stay in the cache, and stay unscaled: what is scaled is as wide as ``mixed``."""
+    n, kind = out.shape[1], mixed.dtype
+    share = (valid / max(int(valid.sum()), 1)).astype(np.float32)
+    g_out, g_mixed, total, logit, pace = np.zeros(out.shape, kind), np.empty_like(mixed), *np.empty((3, len(mixed)), kind)
+    shifted = not norm(mixed, 1) * norm(out, 0) < room
+    after, made, row, ones = np.empty((ROWS, n), bigram.dtype), np.empty((ROWS, n), kind), np.arange(ROWS) * n, np.ones(n, kind)
+    for at in range(0, len(mixed), ROWS):
+        some = slice(at, at + ROWS)
+        m = mixed[some]
+        p = np.matmul(m, out, out=made[: len(m)])
+        p += np.take(bigram, ids[some], axis=0, out=after[: len(m)], mode="clip")
+        if shifted:
+            p -= p.max(axis=1, keepdims=True)
+        cells, place = p.reshape(-1), row[: len(m)] + wanted[some]
+        logit[some] = cells[place]
+        np.exp(p, out=p)
+        total[some] = sums = p @ ones
+        cells[place] -= sums
+        pace[some] = scaled = share[some] / sums
+        np.matmul(p, out.T, out=g_mixed[some])
+        g_out += (m * scaled[:, None]).T @ p
+    return float(((np.log(total) - logit) * share).sum(dtype=np.float64)), g_out, g_mixed, pace
+
+
 def fit(w: dict, bigram: np.ndarray, classes: np.ndarray, windows: tuple, batch: int = 256, rate: float = 4e-3, seed: int = 0) -> dict:
     """One pass of Adam over windows (ids, targets, first, valid), in a seeded order; returns new weights. Of
     ``embed`` a step moves the rows of the ids it saw, which costs as much as the windows do, not the vocabulary."""
     ids, targets, first, valid = windows
+    room = plain_room(bigram)
     w = {name: x.copy() for name, x in w.items()}
     m = {name: np.zeros_like(x) for name, x in w.items()}
     s = {name: np.zeros_like(x) for name, x in w.items()}
@@ -139,7 +200,7 @@ def fit(w: dict, bigram: np.ndarray, classes: np.ndarray, windows: tuple, batch:
     steps = max(1, -(-len(order) // batch))
     for step in range(1, steps + 1):
         at = order[(step - 1) * batch : step * batch]
-        _, g = gradients(w, bigram, classes, ids[at], targets[at], first[at], valid[at])
+        _, g = gradients(w, bigram, classes, ids[at], targets[at], first[at], valid[at], room)
         pace = rate * min(1.0, 0.1 + 1.5 * (1 - step / (steps + 1)))
         for name, x in g.items():
             at, x = x if name == "embed" else (slice(None), x)

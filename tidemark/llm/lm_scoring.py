@@ -121,8 +121,8 @@ def numbered(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     words = lists.flatten()
     full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
     ends = np.concatenate(([0], np.cumsum(full)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    found = words.filter(pa.array(full)).dictionary_encode()
-    return found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False), np.diff(ends)
+    found = (words if full.all() else words.filter(pa.array(full))).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(zero_copy_only=False), np.diff(ends)
 
 
 def encode_batches(shared, parts: int, pair_parts: int):
