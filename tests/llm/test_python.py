@@ -537,6 +537,26 @@ def test_codec_equals_library(table):
         assert codec.decode(np.array(ids)) == model.decode(ids), ids
 
 
+def test_codec_fills_its_table_with_few_calls(monkeypatch):
+    """A stretch whose pairs of pieces are known costs less than two calls a character; forgetting pairs changes no ids."""
+    import random
+    import sys
+
+    codec = piece_codec.Codec(piece_codec.load_vocabulary(queries.piece_model()))
+    rng = random.Random(8)
+    words = ["▁" + "".join(rng.choice(["th", "ing", "er", "an", "ation", "é", "q", "7"]) for _ in range(rng.randint(1, 6))) for _ in range(400)]
+    want, calls = [codec._encode_stretch(w) for w in words], Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        again = [codec._encode_stretch(w) for w in words]
+    finally:
+        sys.setprofile(None)
+    assert again == want and calls["call"] + calls["c_call"] < 2 * sum(map(len, words))
+    monkeypatch.setattr(piece_codec, "PAIRS", 20)
+    codec.forget_pairs()
+    assert [codec._encode_stretch(w) for w in words] == want and codec.tested <= 20
+
+
 def test_split_table_merges_like_the_procedure():
     rank = {p: i for i, p in enumerate(["ab", "bc", "abc", "cd", "abcd"])}
     assert piece_codec.merged(list("abcd"), rank) == ["abcd"] and piece_codec.split_of("abc", rank) == ("ab", "c")

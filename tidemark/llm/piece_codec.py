@@ -29,6 +29,8 @@ from .common import bounded_batches, text_or_empty, tidy, worker_cache
 SPACE = "▁"
 #: Bounds of what a worker remembers: stretches (and their length), and tested pairs.
 MEMO, MEMO_LENGTH, PAIRS = 120_000, 64, 200_000
+#: In place of a token's id: the start of a stretch, or a character outside the vocabulary.
+NONE = -1
 
 
 def merged(symbols: list[str], rank: dict[str, int]) -> list[str]:
@@ -90,6 +92,25 @@ class _Memo(dict):
         return ids
 
 
+class _Fits(dict):
+    """Whether a piece may follow a token, by the token's id. What is not known yet is tested and remembered; NONE always fits."""
+
+    __slots__ = ("codec", "piece")
+
+    def __init__(self, codec: Codec, piece: str) -> None:
+        super().__init__()
+        self.codec, self.piece = codec, piece
+        self[NONE] = True
+
+    def __missing__(self, before: int) -> bool:
+        codec = self.codec
+        if codec.tested >= PAIRS:
+            codec.forget_pairs()
+        codec.tested += 1
+        ok = self[before] = codec._compatible(codec.pieces[before], self.piece)
+        return ok
+
+
 class Codec:
     def __init__(self, vocabulary: dict) -> None:
         import ahocorasick
@@ -99,21 +120,26 @@ class Codec:
         self.pieces, self.rank, self.splits, self.byte_ids = pieces, rank, splits, vocabulary["bytes"]
         self.bos, self.eos = np.uint32([vocabulary["bos"]]).tobytes(), np.uint32([vocabulary["eos"]]).tobytes()
         self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            self.automaton.add_word(p, p)
+        self.fits = [_Fits(self, p) for p in self.ids]
+        self.tested = 0
+        for fits in self.fits:
+            self.automaton.add_word(fits.piece, (self.ids[fits.piece], len(fits.piece), fits))
         self.automaton.make_automaton()
+        self.lengths = [len(p) for p in pieces]
+        self.packed_ids = [i.to_bytes(4, "little") for i in range(len(pieces))]
         crossing = {c for p in self.ids for c in p}
         outside = "".join(re.escape(c) for c in "\n\t\r\x0b\x0c" if c not in crossing)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces that hold a space mark inside are not supported")
         self.stretches = re.compile(rf"[{outside}]|{SPACE}*[^{SPACE}{outside}]+|{SPACE}+").findall
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.memo = _Memo(self._encode_stretch)
         self.shown = [b"" if i in vocabulary["control"] else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         for byte, i in self.byte_ids.items():
             self.shown[i] = bytes([byte])
         self.shown[vocabulary["unknown"]] = " ⁇ ".encode()
         self.byte_set, self.control = frozenset(self.byte_ids.values()), vocabulary["control"]
+        self.silent = np.zeros(len(pieces), bool)
+        self.silent[list(self.control)] = True
 
     def _compatible(self, a: str, b: str) -> bool:
         """Would merging leave a border between tokens a and b? Undoes the merges at the border, latest
@@ -132,34 +158,31 @@ class Codec:
             else:  # at equal rank the merge further left, across the border, would have come first
                 limit, b = rb + 1, splits[b][0]
 
+    def forget_pairs(self) -> None:
+        self.tested = 0
+        for fits in self.fits:
+            fits.clear()
+            fits[NONE] = True
+
     def _encode_stretch(self, text: str) -> bytes:
-        ids, pairs = self.ids, self.pairs
-        last: list[str | None] = [None] * (len(text) + 1)
-        for end, piece in self.automaton.iter(text):  # by end, the longest first
-            at = end + 1
-            if last[at] is not None:
-                continue
-            before = last[at - len(piece)]
-            if before is not None:  # else the start, or a character outside the vocabulary
-                ok = pairs.get((before, piece))
-                if ok is None:
-                    if len(pairs) >= PAIRS:
-                        pairs.clear()
-                    ok = pairs[before, piece] = self._compatible(before, piece)
-                if not ok:
-                    continue
-            last[at] = piece
-        out: list[int] = []
+        last = [NONE] * (len(text) + 1)
+        for end, (token, length, fits) in self.automaton.iter(text):  # by end, the longest first
+            end += 1
+            if last[end] < 0 and fits[last[end - length]]:
+                last[end] = token
+        lengths, packed_ids = self.lengths, self.packed_ids
+        out: list[bytes] = []
         at = len(text)
         while at:
             token = last[at]
-            if token is not None:
-                out.append(ids[token])
-                at -= len(token)
+            if token >= 0:
+                out.append(packed_ids[token])
+                at -= lengths[token]
             else:
-                out.extend(self.byte_ids[x] for x in reversed(text[at - 1].encode()))
+                out.extend(packed_ids[self.byte_ids[x]] for x in reversed(text[at - 1].encode()))
                 at -= 1
-        return np.array(out[::-1], "<u4").tobytes()
+        out.reverse()
+        return b"".join(out)
 
     def encode(self, text: str) -> np.ndarray:
         """All ids of a text with begin and end ids."""
@@ -171,8 +194,9 @@ class Codec:
     def decode(self, ids: np.ndarray) -> str:
         """The text of any ids: control ids are silent, the first piece loses its space mark, and bytes
         that are no UTF-8 become one replacement character each."""
+        inside = self.silent[ids[1:-1]].any()
         ids = ids.tolist()
-        if any(i in ids[1:-1] for i in self.control):  # a control id ends a run of byte pieces
+        if inside:  # a control id ends a run of byte pieces
             parts, rest = [], ids
             while cut := next((k for k, i in enumerate(rest) if i in self.control and 0 < k), 0):
                 parts.append(rest[:cut])
