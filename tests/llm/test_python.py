@@ -472,6 +472,28 @@ def test_similar_groups_merge_what_the_first_pass_leaves_apart(spark, monkeypatc
     assert len(got) == 8 and {r.group_id for r in got} == {0}
 
 
+def test_small_work_tables_are_few_files(spark, monkeypatch):
+    """However many shuffle partitions: a table of few rows is not dealt out over a file for each."""
+    from tidemark.llm import common
+
+    base = [" ".join(f"w{g}x{i}" for i in range(40)) for g in range(12)]
+    table = docs(spark, *((20 * g + k, " ".join([base[g], f"end{k}"])) for g in range(12) for k in range(20)))
+    made = []
+    monkeypatch.setattr(common, "_MADE", made)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = {r.doc_id: r.group_id for r in simhash.similar_groups(table).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert out == {20 * g + k: 20 * g for g in range(12) for k in range(20)}
+    steps = {path.rsplit("/", 1)[1].rsplit("-", 1)[0]: path for path in made}
+    files = {name: spark.read.parquet(path).inputFiles() for name, path in steps.items() if name in ("wide-different", "wide-pairs", "wide-near", "wide-labels", "wide-more", "wide-joined")}
+    assert len(files) == 6 and all(len(f) == 1 for f in files.values()), {k: len(f) for k, f in files.items()}
+
+
 def test_near_pairs_name_every_row():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, (6, 4)).astype(np.uint64)

@@ -53,11 +53,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def staged(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+#: Rows for each file of a work table whose size is about known.
+FILE_ROWS = 25_000
+
+
+def staged(df: DataFrame, name: str = "stage", by: str | None = None, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost
-    executors, and lets later readers prune columns. ``by`` names a column of few values to split it by."""
+    executors, and lets later readers prune columns. ``by`` names a column of few values to split it by.
+    With about how many ``rows`` it has, it comes in no more files than these need, whatever the shuffle
+    partitions; for tables whose last step is cheap, as its tasks are as few."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path, compression="zstd", partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -37,18 +37,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return small.select("a", F.col("m").alias("b")).union(small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """node, root: for every node of links (a, b) the smallest node it is connected to.
 
     Alternates large-star and small-star steps until nothing changes; every step is written to the
-    shared folder, so plans stay small. Edges stay as many as the links at most.
+    shared folder, so plans stay small. Edges stay as many as the links at most, and every step is
+    written in as few files as they need. ``rows``: about how many links there are, if known.
     """
     spark = links.sparkSession
-    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    edges = staged(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", rows=rows)
     seen, size = None, edges.count()
     for _ in range(most_rounds):
-        large = staged(_large_star(edges, size), "large-stars")
-        after = staged(_small_star(large), "small-stars")
+        large = staged(_large_star(edges, size), "large-stars", rows=size)
+        after = staged(_small_star(large), "small-stars", rows=size)
         unstage(spark, edges, large)
         edges = after
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()

@@ -543,27 +543,26 @@ def similar_groups(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text
     names = word_names(SIMILAR_WORDS)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = staged(shingled(texts, width, SIMILAR_WORDS), "wide-fingerprints")
-    different = staged(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "wide-different")
-    pairs = staged(candidates(different.select(F.col("node").alias("id"), *names)), "wide-pairs")
-    near = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(different, "node"), "wide-near")
+    n = rows.count()  # tables of about so many rows are written in as few files as these need
+    different = staged(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "wide-different", rows=n)
+    pairs = staged(candidates(different.select(F.col("node").alias("id"), *names)), "wide-pairs", rows=n)
+    near = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(different, "node"), "wide-near", rows=n)
     wanted = near.select(F.col("first").alias("doc_id")).distinct()
     some = texts.join(wanted, "doc_id", "left_semi").unionByName(texts.where("doc_id is null"))  # a set may have rows without ids only
     sets = staged(shingled(some, width, 0).join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]), "wide-sets")
-    links = staged(verified(pairs, sets), "wide-links")
-    labels = staged(components(links), "wide-labels").select(F.col("node").alias("m"), "root")
-    more = staged(prefix_pairs(sets, labels.select(F.col("m").alias("of_node"), F.col("root").alias("label"))).join(pairs, ["a", "b"], "left_anti"), "wide-more")
-    more = staged(verified(more, sets), "wide-more-links")
+    labels = staged(components(verified(pairs, sets), rows=n), "wide-labels", rows=n).select(F.col("node").alias("m"), "root")
+    more = staged(prefix_pairs(sets, labels.select(F.col("m").alias("of_node"), F.col("root").alias("label"))).join(pairs, ["a", "b"], "left_anti"), "wide-more", rows=n)
     joined = different.select("node", "first", "copies").join(labels, F.col("node") == F.col("m"), "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
     if not more.isEmpty():  # links between the groups so far
-        of = labels.select(F.col("m").alias("of"), "root")
+        more, of = verified(more, sets), labels.select(F.col("m").alias("of"), "root")
         for side in ("a", "b"):
             more = more.join(of, F.col(side) == F.col("of"), "left").withColumn(side, F.coalesce("root", side)).drop("of", "root")
-        merged = components(more).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        merged = components(more, rows=n).select(F.col("node").alias("old"), F.col("root").alias("new"))
         joined = joined.join(merged, F.col("root") == F.col("old"), "left").select("node", "first", "copies", F.coalesce("new", "root").alias("root"))
-    joined = staged(joined, "wide-joined")
+    joined = staged(joined, "wide-joined", rows=n)
     roots = joined.groupBy("root").agg(F.min("first").alias("group_id"), F.count(F.lit(1)).alias("members"))
     labelled = join_hot(joined.select("root", "node", "copies"), roots, "root", "members", joined.count())
-    return join_hot(rows.select("doc_id", "node"), labelled.select("node", "copies", "group_id"), "node", "copies", rows.count()).select("doc_id", "group_id")
+    return join_hot(rows.select("doc_id", "node"), labelled.select("node", "copies", "group_id"), "node", "copies", n).select("doc_id", "group_id")
 
 
 def without_similar(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
