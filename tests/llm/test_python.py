@@ -472,6 +472,18 @@ def test_similar_groups_merge_what_the_first_pass_leaves_apart(spark, monkeypatc
     assert len(got) == 8 and {r.group_id for r in got} == {0}
 
 
+def test_workers_return_arrow_memory(monkeypatch):
+    import pyarrow
+
+    from tidemark.llm import common
+
+    calls = []
+    pool = type("Pool", (), {"release_unused": lambda self: calls.append(len(calls))})
+    monkeypatch.setattr(pyarrow, "default_memory_pool", pool)
+    assert list(common.tidy(lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    assert calls == [0]
+
+
 def test_small_work_tables_are_few_files(spark, monkeypatch):
     """However many shuffle partitions: a table of few rows is not dealt out over a file for each."""
     from tidemark.llm import common

@@ -135,6 +135,8 @@ def tidy(run, keep: tuple = ()):
         import ctypes
         import gc
 
+        import pyarrow
+
         cache = worker_cache()
         for name in [n for n in cache if not n.startswith("__") and n not in keep]:
             del cache[name]
@@ -142,6 +144,7 @@ def tidy(run, keep: tuple = ()):
             yield from run(batches)
         finally:
             gc.collect()
+            pyarrow.default_memory_pool().release_unused()  # Arrow's own allocator keeps what its batches took
             try:
                 ctypes.CDLL(None).malloc_trim(0)
             except (OSError, AttributeError):  # another C library
